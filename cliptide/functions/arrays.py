@@ -96,41 +96,6 @@ def shares(values: Column) -> Column:
     return F.transform(values, lambda x: F.try_divide(x, whole))
 
 
-def cumulative(values: Column) -> Column:
-    """Running sums of an array."""
-    return F.aggregate(
-        values,
-        F.array().cast("array<double>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)),
-    )
-
-
-def matrix(rows) -> Column:
-    """A constant [rows, columns] matrix as an array literal."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
-
-
-def apply_matrix(weights: Column, values: Column) -> Column:
-    return F.transform(weights, lambda row: total(F.zip_with(row, values, lambda a, b: a * b)))
-
-
-def peak_positions(values: Column) -> Column:
-    """Middles (rounded down) of the flat or pointed tops of an array, ends excluded."""
-    n = F.size(values)
-    inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-
-    def top_end(i: Column) -> Column:
-        # Index of the first later value that differs; 0-based, NULL when there is none.
-        here = F.get(values, i)
-        ahead = F.slice(values, i + 2, n)
-        return i + F.nullif(F.array_position(F.transform(ahead, lambda x: x != here), True), F.lit(0))
-
-    rises = F.filter(inner, lambda i: F.get(values, i - 1) < F.get(values, i))
-    ends = F.transform(rises, lambda i: F.struct(i.alias("i"), top_end(i).cast("int").alias("e")))
-    falls = F.filter(ends, lambda p: F.coalesce(F.get(values, p["e"]) < F.get(values, p["i"]), F.lit(False)))
-    return F.transform(falls, lambda p: F.floor((p["i"] + p["e"] - 1) / 2).cast("int"))
-
-
 def median_of(values: Column) -> Column:
     """Median of a short array; NULL when it is empty."""
     ordered = F.array_sort(values)

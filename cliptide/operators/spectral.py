@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliptide.functions import arrays, transforms
-from cliptide.operators.exact import names, running
-from cliptide.operators.sequence import chunk_arrays, frame_arrays
+from cliptide.operators.exact import names, running, settled
+from cliptide.operators.sequence import chunk_arrays, frame_arrays, in_order
 
 # Fixed values of the front end.
 SAMPLE_RATE = 16_000
@@ -286,67 +286,30 @@ def prediction_cepstrum(df: DataFrame, order: int = 12, samples: str = "samples"
 def spectral_vector(df: DataFrame, clip: str = "clip_id", samples: str = "samples", nfft: int = 2048, hop: int = 128, width: int = 14, low: int = 48, omega: float = 0.3, degree: int = 6, fitted: int = 32, order: int = 12) -> DataFrame:
     """The 97-value vector per clip: linearity 2, peaks 35, cepstrum 12, low power 48.
 
-    One waveform per row in, one vector out: both transforms share a single pass through
-    Python, the rest are array expressions, and nothing is shuffled.
+    One waveform per row in, one vector out. Both transforms share a single pass over the
+    waveforms; its few dozen numbers per clip are written once, and only those are grouped
+    and joined.
     """
-    transformed = df.select(
-        clip,
-        transforms.summed_power(nfft, hop)(samples).alias("_power"),
-        transforms.lpc_cepstrum(order)(samples).alias("_lpcc"),
-    )
-    shared = transformed.withColumn("_share", arrays.shares(arrays.bin_sums(F.col("_power"), width)))
-    fit = arrays.matrix(transforms.fit_weights(low, degree, fitted))
-    summed = _with_moments(shared.withColumn("_x", arrays.cumulative(F.col("_share"))), "_x")
-    return (
-        summed.withColumn("_low", F.transform(F.slice("_share", 1, low), lambda s: s * 100))
-        .withColumn("_peaks", arrays.peak_positions(F.col("_low")))
-        .withColumn("_height", F.array_max(F.transform("_peaks", lambda p: F.get("_low", p))))
-        .withColumn("_strong", F.filter("_peaks", lambda p: F.get("_low", p) >= F.col("_height") * F.lit(omega)))
-        .withColumn("_mu", F.try_divide(arrays.total(F.col("_strong")), F.size("_strong")))
-        .withColumn("_var", F.try_divide(arrays.total(F.transform("_strong", lambda p: (p - F.col("_mu")) * (p - F.col("_mu")))), F.size("_strong")))
-        .select(
+    thin = settled(
+        df.select(
             clip,
-            F.concat(
-                F.array(_rho(), _leading(), F.size("_strong").cast("double"), F.col("_mu"), F.sqrt("_var")),
-                arrays.apply_matrix(fit, F.col("_low")),
-                "_lpcc",
-                "_low",
-            ).alias("features"),
-        )
-    )
-
-
-def _with_moments(df: DataFrame, x: str) -> DataFrame:
-    """Central sums of x, x² and the index, for the correlation and the quadratic fit."""
-    product = lambda p, r: arrays.total(F.transform("_t", lambda t: t[p] * t[r]))
-    triples = F.transform(
-        x,
-        lambda a, i: F.struct(
-            (a - F.col("_mx")).alias("x"), (a * a - F.col("_ms")).alias("s"), (i - (F.col("_n") - 1) / 2).alias("y")
-        ),
+            transforms.summed_power(nfft, hop)(samples).alias("_power"),
+            transforms.lpc_cepstrum(order)(samples).alias("_lpcc"),
+        ).select(clip, arrays.shares(arrays.bin_sums(F.col("_power"), width)).alias("_share"), "_lpcc"),
+        "spectra",
     )
-    return (
-        df.withColumn("_n", F.size(x))
-        .withColumn("_mx", F.try_divide(arrays.total(F.col(x)), F.col("_n")))
-        .withColumn("_ms", F.try_divide(arrays.total(F.transform(x, lambda a: a * a)), F.col("_n")))
-        .withColumn("_t", triples)
-        .withColumns({
-            "_xy": product("x", "y"), "_sy": product("s", "y"), "_xs": product("x", "s"),
-            "_xx": product("x", "x"), "_ss": product("s", "s"), "_yy": product("y", "y"),
-        })
+    segments = thin.select(clip, F.posexplode("_share").alias("seg", "share"))
+    percent = low_power(segments, low)
+    head = linearity(segments, clip).join(peak_features(percent, clip, "seg", "share", omega), clip)
+    fit = smooth_fit(percent, clip, low, "seg", "share", degree, fitted)
+    fits = fit.groupBy(clip).agg(in_order("seg", "fit").alias("_fit"))
+    values = F.array(*[F.col(c).cast("double") for c in ("rho", "q", "n_peak", "mu_peak", "sigma_peak")])
+    lows = F.transform(F.slice("_share", 1, low), lambda s: s * 100)
+    return thin.join(head, clip).join(fits, clip).select(
+        clip, F.concat(values, "_fit", "_lpcc", lows).alias("features")
     )
 
 
-def _rho() -> Column:
-    return F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
-
-
-def _leading() -> Column:
-    c = F.col
-    slope = F.try_divide(c("_sy") * c("_xx") - c("_xy") * c("_xs"), c("_ss") * c("_xx") - c("_xs") * c("_xs"))
-    return slope * F.try_divide(F.lit(8.0), c("_n") - 1)
-
-
 def resample_rows(df: DataFrame, source: int, target: int, clip: str = "clip_id", pos: str = "pos", value: str = "sample") -> DataFrame:
     """Linear interpolation onto a uniform grid of another rate; the last value is held.
 

@@ -54,7 +54,7 @@ def _wav_files(spark, sf):
 def _damaged(wavs):
     kind = F.col("clip_id") % 10
     content = F.when(kind == 3, F.substr("content", F.lit(1), F.lit(50))).when(
-        kind == 7, F.encode("path", F.lit("utf-8"))
+        kind == 7, F.encode("path", "utf-8")
     ).otherwise(F.col("content"))
     return wavs.select("path", content.alias("content"))
 
