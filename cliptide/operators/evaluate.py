@@ -235,7 +235,7 @@ def density(df: DataFrame, by: str | Sequence[str], value: str, points: int = 50
         n.alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), (s1 / n).alias("_mean")
     )
     spread = attach(merged, moments, by).groupBy(*by, "_n", "_lo", "_hi").agg(
-        F.sum(F.col("_c") * F.pow(F.col("_x") - F.col("_mean"), F.lit(2.0))).alias("_ss")
+        F.sum(F.col("_c") * (F.col("_x") - F.col("_mean")) * (F.col("_x") - F.col("_mean"))).alias("_ss")
     )
     scott = F.sqrt(F.try_divide(F.col("_ss"), F.col("_n") - 1)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     shape = spread.select(
@@ -245,8 +245,14 @@ def density(df: DataFrame, by: str | Sequence[str], value: str, points: int = 50
         ((F.col("_hi") - F.col("_lo") + F.col("_h") * (2 * cut)) / (points - 1)).alias("_step"),
     )
     at = lambda i: F.col("_from") + F.col("_step") * i
-    kernel = lambda i: F.col("_c") * F.exp(-F.pow((F.col("_x") - at(i)) / F.col("_h"), F.lit(2.0)) / 2)
-    sums = attach(merged, shape, by).groupBy(*by, "_n", "_h", "_from", "_step").agg(
+    distance = lambda i: F.col("_u") - F.col("_du") * i
+    kernel = lambda i: F.col("_c") * F.exp(distance(i) * distance(i) * F.lit(-0.5))
+    scaled = (
+        attach(merged, shape, by)
+        .withColumn("_u", (F.col("_x") - F.col("_from")) / F.col("_h"))
+        .withColumn("_du", F.col("_step") / F.col("_h"))
+    )
+    sums = scaled.groupBy(*by, "_n", "_h", "_from", "_step").agg(
         F.array(*[F.sum(kernel(i)) for i in range(points)]).alias("_sums")
     )
     scale = F.col("_n") * F.col("_h") * F.lit((2 * 3.141592653589793) ** 0.5)

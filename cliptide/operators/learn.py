@@ -25,7 +25,7 @@ def as_vector(df: DataFrame, values: str, name: str = "features") -> DataFrame:
 
 def linear_classifier(scaled: bool = True) -> Pipeline:
     """Linear support-vector classifier, on standardised features by default."""
-    svc = LinearSVC(featuresCol="_scaled" if scaled else "features", labelCol="label", maxIter=20, regParam=0.01)
+    svc = LinearSVC(featuresCol="_scaled" if scaled else "features", labelCol="label", maxIter=10, regParam=0.01)
     scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True)
     return Pipeline(stages=[scaler, svc] if scaled else [svc])
 
