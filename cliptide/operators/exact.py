@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliptide.session import checkpoint_dir, scratch_path
+from cliptide.session import scratch_path
 
 SMALL_ROWS = 10_000
 
@@ -124,6 +124,7 @@ def hash_parts(
     key: str | Sequence[str],
     by: str | Sequence[str],
     sizes: Callable[[DataFrame], DataFrame],
+    n_cuts: int,
     seed: int | str = 42,
     name: str = "part",
     prefix: int = 4,
@@ -131,7 +132,7 @@ def hash_parts(
     """Cut each group at exact positions of its hash order, without shuffling whole rows.
 
     ``sizes`` maps the table ``(by…, total)`` to ``(by…, total, cuts)`` where ``cuts`` is an
-    ascending array of cumulative sizes. Part ``i`` of a row is the number of cuts it lies
+    ascending array of ``n_cuts`` cumulative sizes. Part ``i`` of a row is the number of cuts it lies
     beyond. Three passes: counts per (group, bucket) and the one bucket that holds each cut,
     both over key columns only, then a map-side comparison with the cut values.
     """
@@ -180,15 +181,11 @@ def hash_parts(
         limits = limits.join(edges, by, "left")
     else:
         limits = limits.withColumn("_edges", edges.scalar())
-    beyond = F.aggregate(
-        F.sequence(F.lit(0), F.size("cuts") - 1),
-        F.lit(0),
-        lambda acc, i: acc
-        + F.when(F.get("cuts", i) >= F.col("total"), 0)
-        .when(F.get("cuts", i) <= 0, 1)
-        .when(edge > F.col("_edges")[i], 1)
-        .otherwise(0),
-    )
+    beyond = F.lit(0)
+    for i in range(n_cuts):
+        at = F.get("cuts", F.lit(i))
+        past = F.when(at >= F.col("total"), 0).when(at <= 0, 1).when(edge > F.col("_edges")[i], 1)
+        beyond = beyond + past.otherwise(0)
     return attach(keyed, limits, by).withColumn(name, beyond).select(*df.columns, name)
 
 
@@ -201,20 +198,22 @@ def lowest_by_hash(df, key, by, quota: Callable[[DataFrame], DataFrame], seed=42
     def sizes(totals: DataFrame) -> DataFrame:
         return quota(totals).withColumn("cuts", F.array("quota"))
 
-    return hash_parts(df, key, by, sizes, seed, "_part", prefix).filter("_part = 0").drop("_part")
+    return hash_parts(df, key, by, sizes, 1, seed, "_part", prefix).filter("_part = 0").drop("_part")
 
 
 def row_index(df: DataFrame, order: str | Sequence[str], name: str = "idx") -> DataFrame:
     """0-based global position under ``order``, which must be a total order.
 
-    One range shuffle on the whole order key; the sorted rows are checkpointed so that the
-    per-partition counts and the positions come from the same partitions.
+    One range shuffle on the whole order key. Each sorted partition is written with its number
+    and local positions, so the counts and the positions cannot disagree after a lost executor.
     """
-    checkpoint_dir(df.sparkSession)
     order = names(order)
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    placed = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settled(
+        ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
+            "_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ),
+        "indexed",
     )
     before = (
         placed.groupBy("_pid")

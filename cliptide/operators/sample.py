@@ -107,7 +107,7 @@ def _three_way(df: DataFrame, key, by, seed, test_size: float) -> DataFrame:
             "cuts", F.array((F.col("total") - held).cast("bigint"), (F.col("total") - test).cast("bigint"))
         )
 
-    parts = hash_parts(df, key, by, sizes, seed, "_part")
+    parts = hash_parts(df, key, by, sizes, 2, seed, "_part")
     split = F.when(F.col("_part") == 0, "train").when(F.col("_part") == 1, "val").otherwise("test")
     return parts.withColumn("split", split).drop("_part")
 
@@ -140,7 +140,7 @@ def equal_folds(df: DataFrame, key, folds: int = 5, seed=42) -> DataFrame:
         each = F.floor(F.col("total") / folds)
         return totals.withColumn("cuts", F.array(*[(each * i).cast("bigint") for i in range(1, folds + 1)]))
 
-    parts = hash_parts(df, key, [], sizes, seed, "fold")
+    parts = hash_parts(df, key, [], sizes, folds, seed, "fold")
     return parts.filter(F.col("fold") < folds)
 
 

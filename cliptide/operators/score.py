@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliptide.functions import arrays, transforms
-from cliptide.operators.exact import attach, exact_median, small_table
+from cliptide.operators.exact import exact_median, small_table
+
+MAX_CLASSES = 1000
 
 
 def embed(df: DataFrame, loader: Callable, apply: Callable, samples: str = "samples", name: str = "embedding") -> DataFrame:
@@ -115,13 +117,18 @@ def posterior_weighted(models: Sequence[Column], truth: Column) -> Column:
 
 
 def nearest_median(df: DataFrame, label: str = "label", score: str = "score", name: str = "nearest") -> DataFrame:
-    """Each score takes the label whose median is closer; the smaller label wins a tie."""
-    medians = exact_median(df, label, score, "_m").groupBy().agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_m").alias("m")))).alias("_medians")
-    )
-    ranked = F.array_min(
-        F.transform("_medians", lambda c: F.struct(F.abs(c["m"] - F.col(score)).alias("d"), c["l"].alias("l")))
-    )
-    return attach(df, medians, []).withColumn(name, ranked["l"]).drop("_medians")
+    """Each score takes the label whose median is closer; the smaller label wins a tie.
+
+    The medians of the few classes become constants of the plan; too many labels are refused.
+    """
+    medians = exact_median(df.filter(F.col(label).isNotNull()), label, score, "_m").take(MAX_CLASSES + 1)
+    if len(medians) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels")
+    kind = df.schema[label].dataType
+    nearest = F.least(
+        *[F.struct(F.abs(F.lit(r["_m"]) - F.col(score)).alias("d"), F.lit(r[label]).cast(kind).alias("l")) for r in medians]
+        or [F.struct(F.lit(None).alias("d"), F.lit(None).cast(kind).alias("l"))] * 2
+    ) if len(medians) != 1 else F.struct(F.lit(medians[0][label]).cast(kind).alias("l"))
+    return df.withColumn(name, nearest["l"])
 
 

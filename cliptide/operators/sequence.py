@@ -55,8 +55,16 @@ def frame_arrays(df: DataFrame, length: int, hop: int, samples: str = "samples")
     return df.select(*others, F.posexplode(cut).alias("frame", samples))
 
 
-def sequences(df: DataFrame, key: str, pos: str = "pos", frame: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per sequence with its frames in order; ``keep`` columns come from the first frame."""
+def sequences(
+    df: DataFrame, key: str, pos: str = "pos", frame: str = "embedding", keep: Sequence[str] = (), length: int | None = None
+) -> DataFrame:
+    """One row per sequence with its frames in order; ``keep`` columns come from the first frame.
+
+    Give ``length`` when only that many leading frames are used (0-based ``pos``): the others
+    are left out before the shuffle, so the longest clip costs no more than any other.
+    """
+    if length is not None:
+        df = df.filter(F.col(pos) < length)
     firsts = [F.min_by(c, pos).alias(c) for c in keep]
     return df.groupBy(key).agg(in_order(pos, frame).alias("frames"), *firsts)
 

@@ -329,13 +329,14 @@ def resample_rows(df: DataFrame, source: int, target: int, clip: str = "clip_id"
     return sums.filter("_t > 0").select(clip, "grid", (F.col("_s") / F.col("_t")).alias(value))
 
 
-def resample_array(samples: Column, source: int, target: int) -> Column:
-    """The same for one waveform array."""
+def resample_array(samples: Column, source: int | Column, target: int) -> Column:
+    """The same for one waveform array; ``source`` may be a column of rates."""
+    source = F.lit(source) if isinstance(source, int) else source
     n = F.size(samples)
-    size = F.ceil(n * F.lit(target) / F.lit(source)).cast("int")
+    size = F.ceil(n * F.lit(target) / source).cast("int")
 
     def at(j: Column) -> Column:
-        spot = j * F.lit(source) / F.lit(target)
+        spot = j * source / F.lit(target)
         low = F.floor(spot).cast("int")
         high = F.least(low + 1, n - 1)
         part = spot - low

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliptide.functions import labels
 from cliptide.operators import curate, evaluate, sample, score, sequence, spectral
 from cliptide.operators.exact import settled
 from cliptide.sources import files as media
@@ -50,18 +51,22 @@ def clip_scores(
 
 
 def score_corpus(
-    files: DataFrame, truth: DataFrame, vocabulary: DataFrame, loader: Callable, apply: Callable,
+    listed: DataFrame, truth: DataFrame, vocabulary: DataFrame, loader: Callable, apply: Callable,
     classes: dict[str, str], rate: int = spectral.SAMPLE_RATE,
 ) -> DataFrame:
-    """Audio files → label join → decode → resample → ``clip_scores``."""
-    named = files.withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    wanted = named.join(truth.select("filename"), "filename", "left_semi")
-    decoded = media.good_records(media.decode_wav(wanted))
-    level = F.when(F.col("sr") == rate, F.col("samples").cast("array<double>"))
-    for source in (8_000, 22_050, 24_000, 32_000, 44_100, 48_000):
-        level = level.when(F.col("sr") == source, spectral.resample_array(F.col("samples"), source, rate))
-    clips = decoded.select(F.element_at(F.split("path", "/"), -1).alias("filename"), level.alias("samples"))
-    return clip_scores(clips.filter("samples IS NOT NULL"), truth, vocabulary, loader, apply, classes)
+    """Listed (path, length) audio files → label join → decode → resample → ``clip_scores``.
+
+    Only names and sizes meet the labels; the audio is read afterwards, by the task that
+    decodes it, and never shuffled.
+    """
+    named = listed.withColumn("filename", labels.base_name(F.col("path")))
+    wanted = media.spread_by_bytes(named.join(truth.select("filename"), "filename", "left_semi"))
+    decoded = media.good_records(media.decode_wav(wanted.select("path")))
+    level = F.when(F.col("sr") == rate, F.col("samples").cast("array<double>")).otherwise(
+        spectral.resample_array(F.col("samples"), F.col("sr"), rate)
+    )
+    clips = decoded.select(labels.base_name(F.col("path")).alias("filename"), level.alias("samples"))
+    return clip_scores(clips, truth, vocabulary, loader, apply, classes)
 
 
 def fold_comparison(predictions: DataFrame, models: Sequence[str] | None = None) -> DataFrame:

@@ -351,7 +351,7 @@ def weighted_mean_model():
     SELECT seq_id, round(1 / (1 + exp(-sum(v * (i % 7 - 3) / 10.0) FILTER (pos < 31) / 31)), 6) AS score FROM cells GROUP BY 1""",
 )
 def _(spark, sf):
-    whole = sequence.sequences(b.numbered(spark, sf, 40), "seq_id")
+    whole = sequence.sequences(b.numbered(spark, sf, 40), "seq_id", length=31)
     padded = sequence.pad_sequences(whole, 64, 31)
     scored = score.score_sequences(padded, weighted_mean_model, [31 * 64])
     return scored.select("seq_id", F.round("score", 6).alias("score"))

@@ -192,7 +192,7 @@ def _grid_sql(length: str, size: int = 62) -> str:
 
 @query("w7_pad_sequences", _grid_sql("31"))
 def _(spark, sf):
-    whole = sequence.sequences(b.numbered(spark, sf), "seq_id")
+    whole = sequence.sequences(b.numbered(spark, sf), "seq_id", length=31)
     return _cells(sequence.pad_sequences(whole, 64, 31), ["seq_id"])
 
 

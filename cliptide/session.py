@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, name: str = "cliptide") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")  # a clip can be 2 MB
         .getOrCreate()
     )
 

@@ -1,7 +1,8 @@
 """Audio and feature files: listing, decoding, metadata, and the bad-record split.
 
-Decoders take (path, content) rows, so they work on any binary scan. A file that cannot be
-decoded becomes a row with an ``error``; nothing is dropped silently.
+Decoders take (path, content) rows, from any binary scan, or bare (path) rows whose files the
+decoding task opens itself: join the thin listing with labels first, and no audio is shuffled.
+A file that cannot be decoded becomes a row with an ``error``; nothing is dropped silently.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +35,38 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> Data
     return binary_files(spark, folder, pattern).select("path", "length")
 
 
-def _open_pcm(content: bytes):
-    clip = wave.open(io.BytesIO(content))
-    if clip.getsampwidth() != 2:
-        raise ValueError(f"expected 16-bit samples, found {8 * clip.getsampwidth()}-bit")
-    return clip
+def spread_by_bytes(listed: DataFrame, target: int = 256 << 20) -> DataFrame:
+    """Deal listed files to tasks of about ``target`` bytes each. The listing itself is thin, so
+    neither its own size nor adaptive coalescing would give a sensible number of tasks."""
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    return listed.repartition(max(1, -(-total // target)), "path")
+
+
+def _records(batch: pd.DataFrame) -> Iterator[tuple[str, bytes | None]]:
+    contents = batch["content"] if "content" in batch else [None] * len(batch)
+    return zip(batch["path"], contents)
+
+
+def _opened(path: str, content: bytes | None):
+    """The given bytes, or else the file at ``path``, as a seekable file. The task itself opens
+    it, on whatever file system the address names, and reads no more than it uses."""
+    if content is not None:
+        return io.BytesIO(content)
+    local = path.startswith("file:/") and not path.startswith("file://")
+    system, inner = FileSystem.from_uri("file://" + path[5:] if local else path)
+    return system.open_input_file(inner)
+
+
+@contextmanager
+def _open_pcm(path: str, content: bytes | None):
+    with _opened(path, content) as file, wave.open(file) as clip:
+        if clip.getsampwidth() != 2:
+            raise ValueError(f"expected 16-bit samples, found {8 * clip.getsampwidth()}-bit")
+        yield clip
+
+
+def _bytes_or_path(files: DataFrame) -> DataFrame:
+    return files.select("path", "content") if "content" in files.columns else files.select("path")
 
 
 def wav_metadata(files: DataFrame) -> DataFrame:
@@ -45,9 +75,9 @@ def wav_metadata(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in _records(batch):
                 try:
-                    with _open_pcm(content) as clip:
+                    with _open_pcm(path, content) as clip:
                         rows.append((path, clip.getframerate(), clip.getnchannels(), clip.getnframes(), None))
                 except Exception as error:
                     rows.append((path, None, None, None, f"{type(error).__name__}: {error}"))
@@ -56,7 +86,7 @@ def wav_metadata(files: DataFrame) -> DataFrame:
             )
 
     schema = "path string, sr int, channels int, n_samples bigint, error string"
-    return files.select("path", "content").mapInPandas(read, schema)
+    return _bytes_or_path(files).mapInPandas(read, schema)
 
 
 def duration(metadata: DataFrame) -> DataFrame:
@@ -75,9 +105,9 @@ def decode_wav(files: DataFrame, chunk: int | None = None) -> DataFrame:
         columns = ["path", "sr", "channels", "chunk_idx", "samples", "error"]
         types = {"sr": "Int32", "channels": "Int32", "chunk_idx": "Int32"}
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in _records(batch):
                 try:
-                    with _open_pcm(content) as clip:
+                    with _open_pcm(path, content) as clip:
                         rate, channels, frames = clip.getframerate(), clip.getnchannels(), clip.getnframes()
                         pcm = np.frombuffer(clip.readframes(frames), dtype="<i2")
                     if len(pcm) != frames * channels:
@@ -92,7 +122,7 @@ def decode_wav(files: DataFrame, chunk: int | None = None) -> DataFrame:
                     yield pd.DataFrame(rows, columns=columns).astype(types)
 
     schema = "path string, sr int, channels int, chunk_idx int, samples array<float>, error string"
-    return files.select("path", "content").mapInPandas(read, schema)
+    return _bytes_or_path(files).mapInPandas(read, schema)
 
 
 def encode_wav(df: DataFrame, rate: int, samples: str = "samples", name: str = "content") -> DataFrame:
@@ -120,9 +150,11 @@ def decode_npy(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in _records(batch):
                 try:
-                    values = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float32)
+                    with _opened(path, content) as file:
+                        loaded = np.load(io.BytesIO(file.read()), allow_pickle=False)
+                    values = np.atleast_2d(loaded).astype(np.float32)
                     if values.ndim != 2:
                         raise ValueError(f"expected 2 dimensions, found {values.ndim}")
                     rows = [(path, i, row, None) for i, row in enumerate(values)]
@@ -131,7 +163,7 @@ def decode_npy(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "frame", "embedding", "error"]).astype({"frame": "Int32"})
 
-    return files.select("path", "content").mapInPandas(
+    return _bytes_or_path(files).mapInPandas(
         read, "path string, frame int, embedding array<float>, error string"
     )
 
