@@ -30,24 +30,37 @@ def dft_magnitude(length: int, nfft: int, windowed: bool = True):
     return magnitude
 
 
-def framed_magnitude(length: int, hop: int, nfft: int, windowed: bool = True):
-    """Pandas UDF: waveform → [frames, bins] magnitudes, complete frames only."""
+def _spectra(wave, length: int, hop: int, nfft: int, window: np.ndarray) -> np.ndarray:
+    """[frames, bins] magnitudes of one waveform, complete frames only."""
+    values = np.asarray(wave, np.float64)
+    if len(values) < length:
+        return np.empty((0, nfft // 2 + 1))
+    block = np.lib.stride_tricks.sliding_window_view(values, length)[::hop]
+    return np.abs(np.fft.rfft(block * window, n=nfft, axis=1))
+
+
+def framed_magnitude(length: int, hop: int, nfft: int, windowed: bool = True, bins: slice = slice(None)):
+    """Pandas UDF: waveform → [frames, bins] magnitudes; only ``bins`` leave Python."""
     window = hann(length) if windowed else np.ones(length)
 
     @F.pandas_udf("array<array<double>>")
     def magnitude(waves: pd.Series) -> pd.Series:
-        out = []
-        for wave in waves:
-            if len(wave) < length:
-                out.append([])
-                continue
-            block = np.lib.stride_tricks.sliding_window_view(np.asarray(wave, np.float64), length)[::hop]
-            out.append(list(np.abs(np.fft.rfft(block * window, n=nfft, axis=1))))
-        return pd.Series(out)
+        return pd.Series([list(_spectra(w, length, hop, nfft, window)[:, bins]) for w in waves])
 
     return magnitude
 
 
+def framed_log_mel(length: int, hop: int, nfft: int, weights: np.ndarray, offset: float):
+    """Pandas UDF: waveform → [frames, bands] stabilised log of the mel projection."""
+    window = hann(length)
+
+    @F.pandas_udf("array<array<double>>")
+    def log_mel(waves: pd.Series) -> pd.Series:
+        return pd.Series([list(np.log(_spectra(w, length, hop, nfft, window) @ weights + offset)) for w in waves])
+
+    return log_mel
+
+
 def summed_power(nfft: int, hop: int):
     """Pandas UDF: waveform → Σ over frames of |X|²/nfft per bin; Hann frames of ``nfft``
     samples centred on multiples of ``hop``, with zeros beyond both ends."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cliptide.functions import arrays, transforms
 from cliptide.operators.exact import names, running, settled
-from cliptide.operators.sequence import chunk_arrays, frame_arrays, in_order
+from cliptide.operators.sequence import chunk_arrays, in_order
 
 # Fixed values of the front end.
 SAMPLE_RATE = 16_000
@@ -27,38 +27,41 @@ PATCH_FRAMES = 96
 # --- linear maps -------------------------------------------------------------------------
 
 
-def weight_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
-    """Non-zero entries of an [in, out] matrix; its size is fixed by the feature's parameters."""
-    rows, cols = np.nonzero(matrix)
-    cells = [(int(i), int(o), float(matrix[i, o])) for i, o in zip(rows, cols)]
-    return spark.createDataFrame(cells, "in_idx int, out_idx int, w double")
+MAX_CELLS = 500_000
 
 
-def dft_table(spark: SparkSession, length: int, nfft: int, windowed: bool = True) -> DataFrame:
-    """Real and imaginary weights of the windowed transform, per (in_idx, out_idx)."""
-    phase = F.col("in_idx") * F.col("out_idx") * F.lit(2 * np.pi / nfft)
-    taper = F.lit(0.5) - F.lit(0.5) * F.cos(F.col("in_idx") * F.lit(2 * np.pi / length)) if windowed else F.lit(1.0)
-    cells = spark.range(length).select(
-        F.col("id").cast("int").alias("in_idx"),
-        F.explode(F.sequence(F.lit(0), F.lit(nfft // 2))).alias("out_idx"),
-    )
-    return cells.select("in_idx", "out_idx", (taper * F.cos(phase)).alias("re"), (taper * F.sin(phase)).alias("im"))
+def weight_table(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
+    """(in_idx, out_idx, weight columns) of constant [in, out] matrices, without all-zero cells.
 
+    The table is broadcast, so matrices beyond ``MAX_CELLS`` are refused: use the array form.
+    """
+    matrices = list(columns.values())
+    if matrices[0].size > MAX_CELLS:
+        raise ValueError(f"a matrix of {matrices[0].size} cells is too large to broadcast")
+    rows, cols = np.nonzero(np.any([m != 0 for m in matrices], axis=0))
+    cells = [(int(i), int(o), *[float(m[i, o]) for m in matrices]) for i, o in zip(rows, cols)]
+    fields = ", ".join(f"{name} double" for name in columns)
+    return F.broadcast(spark.createDataFrame(cells, f"in_idx int, out_idx int, {fields}"))
+
+
+def _mapped(df: DataFrame, weights: DataFrame, by: Sequence[str], idx: str, value: str) -> DataFrame:
+    rows = df.select(*by, F.col(idx).cast("int").alias("in_idx"), F.col(value).alias("_v"))
+    return rows.join(weights, "in_idx").groupBy(*by, "out_idx")
 
-def linear_map(df: DataFrame, weights: DataFrame, by: Sequence[str], idx: str, value: str, name: str = "value") -> DataFrame:
-    """Σ value·weight per (by…, out_idx): a broadcast join on the input index. The weights are
-    a fixed matrix; the sums are combined map-side."""
-    joined = df.select(*by, F.col(idx).cast("int").alias("in_idx"), F.col(value).alias("_v")).join(
-        F.broadcast(weights), "in_idx"
-    )
-    return joined.groupBy(*by, "out_idx").agg(F.sum(F.col("_v") * F.col("w")).alias(name))
+
+def linear_map(df: DataFrame, matrix: np.ndarray, by: Sequence[str], idx: str, value: str, name: str = "value") -> DataFrame:
+    """Σ value·weight per (by…, out_idx) for a constant [in, out] matrix: a broadcast join on
+    the input index whose sums are combined map-side."""
+    grouped = _mapped(df, weight_table(df.sparkSession, w=matrix), by, idx, value)
+    return grouped.agg(F.sum(F.col("_v") * F.col("w")).alias(name))
 
 
 def dft_rows(df: DataFrame, length: int, nfft: int, by: Sequence[str], idx: str, value: str, windowed: bool = True) -> DataFrame:
     """Framed transform as a join with the cosine and sine tables; (by…, bin, magnitude)."""
-    table = F.broadcast(dft_table(df.sparkSession, length, nfft, windowed))
-    joined = df.select(*by, F.col(idx).cast("int").alias("in_idx"), F.col(value).alias("_v")).join(table, "in_idx")
-    sums = joined.groupBy(*by, "out_idx").agg(
+    phase = 2 * np.pi / nfft * np.outer(np.arange(length), np.arange(nfft // 2 + 1))
+    taper = (transforms.hann(length) if windowed else np.ones(length))[:, None]
+    table = weight_table(df.sparkSession, re=taper * np.cos(phase), im=taper * np.sin(phase))
+    sums = _mapped(df, table, by, idx, value).agg(
         F.sum(F.col("_v") * F.col("re")).alias("_re"), F.sum(F.col("_v") * F.col("im")).alias("_im")
     )
     magnitude = F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"))
@@ -78,7 +81,7 @@ def magnitudes(df: DataFrame, length: int = WINDOW, hop: int = HOP, nfft: int |
 
 def mel_bands(df: DataFrame, by: Sequence[str], bins: int, bands: int = MEL_BANDS, rate: float = SAMPLE_RATE, low: float = MEL_LOW, high: float = MEL_HIGH) -> DataFrame:
     """Mel projection of long (by…, bin, magnitude) rows."""
-    weights = weight_table(df.sparkSession, transforms.mel_weights(bands, bins, rate, low, high))
+    weights = transforms.mel_weights(bands, bins, rate, low, high)
     return linear_map(df, weights, by, "bin", "magnitude", "mel").withColumnRenamed("out_idx", "band")
 
 
@@ -116,12 +119,16 @@ def patches(df: DataFrame, clip: Sequence[str], frame: str = "frame", value: str
     )
 
 
-def log_mel_patches(df: DataFrame, samples: str = "samples", by: Sequence[str] = ("clip_id", "chunk_idx")) -> DataFrame:
-    """Waveform chunks → log-mel patches, with the fixed front-end parameters."""
+def log_mel_patches(df: DataFrame, samples: str = "samples", size: int = PATCH_FRAMES, hop: int = PATCH_FRAMES) -> DataFrame:
+    """Waveforms → log-mel patches, with the fixed front-end parameters: one pass, no shuffle,
+    and only the bands leave Python."""
     nfft = transforms.next_power_of_two(WINDOW)
-    frames = magnitudes(df.select(*by, samples), samples=samples)
-    mel = F.transform(mel_arrays(F.col("magnitude"), nfft // 2 + 1), lambda v: stabilised_log(v))
-    return patches(frames.withColumn("mel", mel), list(by))
+    weights = transforms.mel_weights(MEL_BANDS, nfft // 2 + 1, SAMPLE_RATE, MEL_LOW, MEL_HIGH)
+    mel = transforms.framed_log_mel(WINDOW, HOP, nfft, weights, LOG_OFFSET)(samples)
+    others = [c for c in df.columns if c != samples]
+    return df.select(*others, mel.alias("_mel")).select(
+        *others, F.posexplode(arrays.frames(F.col("_mel"), size, hop)).alias("patch", "frames")
+    )
 
 
 # --- power spectrum family ---------------------------------------------------------------
@@ -231,7 +238,7 @@ def peak_features(df: DataFrame, clip: str | Sequence[str], pos: str = "pos", va
 
 def smooth_fit(df: DataFrame, clip: str | Sequence[str], points: int, pos: str = "pos", value: str = "value", degree: int = 6, keep: int = 32) -> DataFrame:
     """First ``keep`` values of the polynomial fit through each clip's ``points`` values."""
-    weights = weight_table(df.sparkSession, transforms.fit_weights(points, degree, keep).T)
+    weights = transforms.fit_weights(points, degree, keep).T
     return linear_map(df, weights, names(clip), pos, value, "fit").withColumnRenamed("out_idx", pos)
 
 
@@ -252,28 +259,35 @@ def energy_balance_frames(
     Kept bins run from ``low`` to ``high`` Hz. As defined, ``cutoff`` counts bins from the
     first kept one; ``strict_cutoff`` makes it a frequency. A silent frame is NULL.
     """
+    others = [c for c in df.columns if c != samples]
+    ratios = _energy_ratios(samples, rate, nfft, frame, low, high, cutoff, strict_cutoff)
+    return df.select(*others, ratios.alias("_r")).select(*others, F.posexplode("_r").alias("frame", "ratio"))
+
+
+def _energy_ratios(samples, rate, nfft, frame, low, high, cutoff, strict_cutoff) -> Column:
     length = frame or int(0.1 * rate)
     first, last, cut = (int(hz * nfft / rate) for hz in (low, high, cutoff))
     used = cut - first if strict_cutoff else cut
-    magnitude = transforms.dft_magnitude(length, nfft, windowed=False)(samples)
-    kept = F.slice(F.col("_m"), first + 1, last - first + 1)
-    ratio = F.try_divide(arrays.total(F.slice(kept, 1, used)), arrays.total(kept))
-    return frame_arrays(df, length, length, samples).withColumn("_m", magnitude).select(
-        *[c for c in df.columns if c != samples], "frame", ratio.alias("ratio")
-    )
+    kept = transforms.framed_magnitude(length, length, nfft, False, slice(first, last + 1))(samples)
+    return F.transform(kept, lambda m: F.try_divide(arrays.total(F.slice(m, 1, used)), arrays.total(m)))
 
 
-def energy_balance(df: DataFrame, by: Sequence[str] = ("clip_id", "chunk_idx"), **options) -> DataFrame:
+def energy_balance(
+    df: DataFrame, rate: int = SAMPLE_RATE, nfft: int = 4096, frame: int | None = None, low: int = 20, high: int = 250,
+    cutoff: int = 80, strict_cutoff: bool = False, samples: str = "samples",
+) -> DataFrame:
     """Energy balance of each chunk: outlying frames dropped, then the median. A chunk with a
-    silent frame, or with all frames alike, has no value and says why. A chunk has a fixed,
-    small number of frames."""
-    frames = energy_balance_frames(df, **options)
-    grouped = frames.groupBy(*by).agg(
-        F.array_sort(F.collect_list("ratio")).alias("_r"), F.count_if(F.col("ratio").isNull()).alias("_silent")
+    silent frame, or with all frames alike, has no value and says why. No shuffle."""
+    others = [c for c in df.columns if c != samples]
+    ratios = _energy_ratios(samples, rate, nfft, frame, low, high, cutoff, strict_cutoff)
+    silent = F.exists("_r", lambda r: r.isNull())
+    note = F.when(F.col("_silent"), "silent frame").when(F.col("metric").isNull(), "constant series")
+    return (
+        df.select(*others, ratios.alias("_r"))
+        .withColumn("_silent", silent)
+        .withColumn("metric", F.when(~F.col("_silent"), arrays.robust_centre_of(F.col("_r"))))
+        .select(*others, "metric", note.alias("error"))
     )
-    metric = F.when(F.col("_silent") == 0, arrays.robust_centre_of(F.col("_r")))
-    note = F.when(F.col("_silent") > 0, "silent frame").when(F.col("metric").isNull(), "constant series")
-    return grouped.withColumn("metric", metric).withColumn("error", note).drop("_r", "_silent")
 
 
 # --- prediction cepstrum, assembly, resampling -------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cliptide.functions import arrays, transforms
@@ -134,14 +135,12 @@ def _(spark, sf):
     FROM raw, range(3) o(o) GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    import numpy as np
-
     matrix = np.add.outer(np.arange(64), np.arange(3)) % 5 - 2.0
     rows = b.table(spark, sf, "embeddings").select(
         F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v")
     )
     rows = rows.withColumn("v", F.col("v").cast("double"))
-    mapped = spectral.linear_map(rows, spectral.weight_table(spark, matrix), ["clip", "frame"], "i", "v")
+    mapped = spectral.linear_map(rows, matrix, ["clip", "frame"], "i", "v")
     return mapped.withColumn("value", F.round("value", 6))
 
 
@@ -257,7 +256,7 @@ def _(spark, sf):
     JOIN stats s ON r.clip_id = s.clip_id AND r.chunk_idx = s.chunk_idx WHERE abs(ratio - mu) < 3 * sd GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    metric = _energy(spark, sf, lambda df, **o: spectral.energy_balance(df, CHUNK, **o))
+    metric = _energy(spark, sf, spectral.energy_balance)
     return metric.select(*CHUNK, F.round("metric", 6).alias("metric"))
 
 
@@ -303,6 +302,23 @@ def _(spark, sf):
     return out.withColumn("sample", F.round("sample", 6))
 
 
+@query(
+    "x10_prediction_cepstrum_2",
+    f"""WITH {WHOLE}, pairs AS (SELECT *, lag(v) OVER w AS p FROM ch WINDOW w AS (PARTITION BY clip_id, chunk_idx ORDER BY i)),
+    first AS (SELECT clip_id, chunk_idx, -2 * sum(v * p) / sum(v * v + p * p) AS k FROM pairs WHERE i > 0 GROUP BY 1, 2),
+    errors AS (SELECT r.clip_id, r.chunk_idx, i, v + k * p AS f, p + k * v AS b, k FROM pairs r
+      JOIN first s ON r.clip_id = s.clip_id AND r.chunk_idx = s.chunk_idx WHERE i > 0),
+    shifted AS (SELECT *, lag(b) OVER w AS q FROM errors WINDOW w AS (PARTITION BY clip_id, chunk_idx ORDER BY i)),
+    second AS (SELECT clip_id, chunk_idx, any_value(k) AS k, -2 * sum(f * q) / sum(f * f + q * q) AS m FROM shifted
+      WHERE i > 1 GROUP BY 1, 2)
+    SELECT clip_id, chunk_idx, round(k + m * k, 6) AS c1, round(-(k + m * k) / 2, 6) AS c2 FROM second""",
+)
+def _(spark, sf):
+    chunks = spectral.prediction_cepstrum(sequence.chunks(b.signal(spark, sf), 48), 2)
+    at = lambda i: F.round(F.get("lpcc", F.lit(i)), 6)
+    return chunks.select(*CHUNK, at(0).alias("c1"), at(1).alias("c2"))
+
+
 @query("x10_prediction_cepstrum")
 def _(spark, sf):
     chunks = spectral.prediction_cepstrum(sequence.chunks(b.signal(spark, sf), 48), 12)
