@@ -51,17 +51,33 @@ def exploded_scores(df: DataFrame, scores: str = "scores") -> DataFrame:
 
 
 def named_scores(df: DataFrame, vocabulary: DataFrame, clip: Sequence[str], classes: dict[str, str], score: str = "score") -> DataFrame:
-    """One column per named class: ``classes`` maps display name → column name. Only the named
-    vocabulary rows are joined, and they filter the scores."""
+    """Mean score of each named class, one column per class: ``classes`` maps display name →
+    column name. Only the named vocabulary rows are joined; they filter the frame scores before
+    anything is shuffled. Means of ``class_means`` may be given too."""
     wanted = vocabulary.filter(F.col("display_name").isin(*classes)).select(
         F.col("index").alias("class_idx"), "display_name"
     )
     picked = df.join(small_table(wanted), "class_idx")
     return picked.groupBy(*clip).agg(
-        *[F.max(F.when(F.col("display_name") == shown, F.col(score))).alias(column) for shown, column in classes.items()]
+        *[F.avg(F.when(F.col("display_name") == shown, F.col(score))).alias(column) for shown, column in classes.items()]
     )
 
 
+def class_indices(vocabulary: DataFrame, wanted: Sequence[str]) -> dict[str, int]:
+    """Position of each wanted class name in the score arrays; the first one counts."""
+    rows = (
+        vocabulary.filter(F.col("display_name").isin(*wanted))
+        .groupBy("display_name")
+        .agg(F.min("index").alias("index"))
+        .take(len(wanted))
+    )
+    found = {r["display_name"]: r["index"] for r in rows}
+    missing = set(wanted) - set(found)
+    if missing:
+        raise ValueError(f"not in the vocabulary: {sorted(missing)}")
+    return found
+
+
 def combined_score(*scores: Column) -> Column:
     total = scores[0]
     for other in scores[1:]:

@@ -34,19 +34,25 @@ def chunk_arrays(df: DataFrame, pace: int, samples: str = "samples") -> DataFram
 
 
 def frame_rows(
-    df: DataFrame, length: int, hop: int, clip: str = "clip_id", pos: str = "pos", value: str = "sample"
+    df: DataFrame, length: int, hop: int, clip: str = "clip_id", pos: str = "pos", value: str = "sample", block: int = 4096
 ) -> DataFrame:
-    """Sliding frames: each sample joins every frame that covers it; complete frames only."""
-    first = F.greatest(F.ceil((F.col(pos) - length + 1) / hop), F.lit(0))
-    last = F.floor(F.col(pos) / hop)
-    # A hop longer than the frame leaves samples that no frame covers.
-    covered = df.filter(first <= last)
-    return (
-        covered.select(clip, pos, value, F.explode(F.sequence(first, last)).alias("frame"))
-        .groupBy(clip, "frame")
+    """Sliding frames of long rows with consecutive positions; complete frames only.
+
+    Samples are gathered in blocks of about ``block``, each with the few samples that its last
+    frames reach into, so hardly any sample is shuffled twice however much the frames overlap.
+    """
+    per_block = -(-max(block, length) // hop)
+    size = per_block * hop
+    own = F.floor(F.col(pos) / size)
+    reaches_back = (F.col(pos) % size < length - hop) & (own > 0)
+    homes = F.when(reaches_back, F.array(own - 1, own)).otherwise(F.array(own))
+    blocks = (
+        df.select(clip, pos, value, F.explode(homes).alias("_block"))
+        .groupBy(clip, "_block")
         .agg(in_order(pos, value).alias("samples"))
-        .filter(F.size("samples") == length)
     )
+    cut = blocks.select(clip, "_block", F.posexplode(arrays.frames(F.col("samples"), length, hop)).alias("_i", "samples"))
+    return cut.select(clip, (F.col("_block") * per_block + F.col("_i")).alias("frame"), "samples")
 
 
 def frame_arrays(df: DataFrame, length: int, hop: int, samples: str = "samples") -> DataFrame:

@@ -42,12 +42,13 @@ def clip_scores(
 ) -> DataFrame:
     """Labelled clips → frame scores → mean per class → one column per named class.
 
-    The label join comes first, so that clips without a label are never scored.
+    The label join comes first, so that clips without a label are never scored. The named
+    classes are picked from the score arrays, so a frame adds a few numbers to one aggregation.
     """
     scored = score.frame_scores(curate.labelled(clips, truth), loader, apply, samples)
-    rows = score.exploded_scores(scored)
-    means = score.class_means(rows, ["filename", "tv"])
-    return score.named_scores(means, vocabulary, ["filename", "tv"], classes)
+    index = score.class_indices(vocabulary, list(classes))
+    picked = [F.avg(F.get("scores", F.lit(index[shown]))).alias(column) for shown, column in classes.items()]
+    return scored.groupBy("filename", "tv").agg(*picked)
 
 
 def score_corpus(

@@ -34,13 +34,13 @@ _NAMED = f"""{b.SCORES}, {b.VOC}, named AS (
 
 @query("j5_named_scores", f"WITH {_NAMED} SELECT clip, round(tv_score, 6) AS tv_score, round(radio_score, 6) AS radio_score FROM named")
 def _(spark, sf):
-    named = score.named_scores(_means(spark, sf), b.vocabulary(spark, sf), ["clip"], PICKED)
+    named = score.named_scores(_long_scores(spark, sf), b.vocabulary(spark, sf), ["clip"], PICKED)
     return named.select("clip", *[F.round(c, 6).alias(c) for c in PICKED.values()])
 
 
 @query("p18_combined_score", f"WITH {_NAMED} SELECT clip, round(tv_score + radio_score, 6) AS score FROM named")
 def _(spark, sf):
-    named = score.named_scores(_means(spark, sf), b.vocabulary(spark, sf), ["clip"], PICKED)
+    named = score.named_scores(_long_scores(spark, sf), b.vocabulary(spark, sf), ["clip"], PICKED)
     return named.select("clip", F.round(score.combined_score(F.col("tv_score"), F.col("radio_score")), 6).alias("score"))
 
 

@@ -65,6 +65,18 @@ def test_hop_longer_than_frame(spark):
     assert got == {0: [0.0, 1.0], 1: [5.0, 6.0], 2: [10.0, 11.0]}
 
 
+@pytest.mark.parametrize("length, hop", [(5, 2), (4, 4), (3, 7), (9, 1), (20, 3)])
+def test_frames_across_blocks(spark, length, hop):
+    clips = {"a": 103, "b": length, "c": length - 1, "d": 1}
+    rows = spark.createDataFrame([(c, i, float(i)) for c, n in clips.items() for i in range(n)], "clip_id string, pos int, sample double")
+    got = {(r.clip_id, r.frame): r.samples for r in sequence.frame_rows(rows.repartition(3), length, hop, block=10).collect()}
+    want = {
+        (c, f): [float(i) for i in range(f * hop, f * hop + length)]
+        for c, n in clips.items() for f in range(n) if f * hop + length <= n
+    }
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 62, 63])
 def test_sequence_shapes(spark, n):
     df = spark.createDataFrame([(1, [[float(i)] * 2 for i in range(n)])], "id int, frames array<array<float>>")
