@@ -62,13 +62,21 @@ def curated_labels(
     label: str = "tv",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Agreement and keep-first in one aggregation: a single shuffle, combined map-side."""
-    first = F.min_by(F.struct(*keep), F.struct(*order)) if keep else None
+    """Agreement and keep-first in one aggregation: a single shuffle, combined map-side.
+
+    With one order column (a row number) and kept columns of fixed size, no sort is needed.
+    """
     aggs = [F.min(label).alias("_lo"), F.max(label).alias("_hi")]
-    if keep:
-        aggs.append(first.alias("_first"))
+    if len(order) == 1:
+        aggs += [F.min_by(c, order[0]).alias(c) for c in keep]
+        kept = list(keep)
+    elif keep:
+        aggs.append(F.min_by(F.struct(*keep), F.struct(*order)).alias("_first"))
+        kept = [F.col("_first")[c].alias(c) for c in keep]
+    else:
+        kept = []
     grouped = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs).filter("_lo = _hi")
-    return grouped.select(key, F.col("_lo").alias(label), *[F.col("_first")[c].alias(c) for c in keep])
+    return grouped.select(key, F.col("_lo").alias(label), *kept)
 
 
 def binary_activity(

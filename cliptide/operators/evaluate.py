@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cliptide.operators.exact import attach, exact_median, names
 
@@ -220,8 +223,8 @@ def density(df: DataFrame, by: str | Sequence[str], value: str, points: int = 50
     smallest value to ``cut`` above the largest.
 
     The bandwidth follows Scott's rule (sample deviation · n^-1/5) unless given. Equal values
-    are merged first; each row then adds to one sum per grid point, so rows are never
-    multiplied by the grid.
+    are merged first; each batch of rows then gives one partial sum per group and grid point,
+    so rows are never multiplied by the grid.
     """
     by = names(by)
     merged = (
@@ -245,17 +248,25 @@ def density(df: DataFrame, by: str | Sequence[str], value: str, points: int = 50
         ((F.col("_hi") - F.col("_lo") + F.col("_h") * (2 * cut)) / (points - 1)).alias("_step"),
     )
     at = lambda i: F.col("_from") + F.col("_step") * i
-    distance = lambda i: F.col("_u") - F.col("_du") * i
-    kernel = lambda i: F.col("_c") * F.exp(distance(i) * distance(i) * F.lit(-0.5))
-    scaled = (
-        attach(merged, shape, by)
-        .withColumn("_u", (F.col("_x") - F.col("_from")) / F.col("_h"))
-        .withColumn("_du", F.col("_step") / F.col("_h"))
-    )
-    sums = scaled.groupBy(*by, "_n", "_h", "_from", "_step").agg(
-        F.array(*[F.sum(kernel(i)) for i in range(points)]).alias("_sums")
-    )
-    scale = F.col("_n") * F.col("_h") * F.lit((2 * 3.141592653589793) ** 0.5)
-    return sums.select("*", F.posexplode("_sums").alias("point", "_s")).select(
-        *by, "point", at(F.col("point")).alias("x"), (F.col("_s") / scale).alias("density")
+    scaled = attach(merged, shape, by).select(
+        *by, "_c", ((F.col("_x") - F.col("_from")) / F.col("_h")).alias("_u"), (F.col("_step") / F.col("_h")).alias("_du")
     )
+    sums = kernel_sums(scaled, by, points).groupBy(*by, "point").agg(F.sum("_s").alias("_s"))
+    scale = F.col("_n") * F.col("_h") * F.lit((2 * np.pi) ** 0.5)
+    return attach(sums, shape, by).select(*by, "point", at(F.col("point")).alias("x"), (F.col("_s") / scale).alias("density"))
+
+
+def kernel_sums(scaled: DataFrame, by: Sequence[str], points: int) -> DataFrame:
+    """(by…, point, _s): partial sums of ``_c``·exp(-(u - du·point)²/2) per batch of rows."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, rows in batch.groupby(by, sort=False):
+                u, step = rows["_u"].to_numpy(), rows["_du"].iloc[0]
+                kernels = np.exp(-0.5 * (u[:, None] - step * np.arange(points)) ** 2)
+                out = pd.DataFrame(dict(zip(by, key if isinstance(key, tuple) else (key,))), index=range(points))
+                yield out.assign(point=np.arange(points, dtype="int32"), _s=rows["_c"].to_numpy() @ kernels)
+
+    fields = T.StructType([scaled.schema[c] for c in by])
+    schema = fields.add("point", T.IntegerType()).add("_s", T.DoubleType())
+    return scaled.mapInPandas(partial, schema)

@@ -51,9 +51,9 @@ def _(spark, sf):
     return curate.binary_activity(b.activities(spark, sf)).select("audio_file", "tv")
 
 
-@query("p7_feature_path", f"WITH {b.ACT} SELECT concat('features/sins/', audio_file, '.npy') AS path FROM act")
+@query("p7_feature_path", f"WITH {b.ACT} SELECT concat('features/node/', audio_file, '.npy') AS path FROM act")
 def _(spark, sf):
-    return b.activities(spark, sf).select(labels.feature_path("features/sins", F.col("audio_file")).alias("path"))
+    return b.activities(spark, sf).select(labels.feature_path("features/node", F.col("audio_file")).alias("path"))
 
 
 @query(

@@ -139,6 +139,8 @@ def test_curation_edges(spark):
     df = curate.clean_flags(spark.createDataFrame(rows, "filename string, tv string, id string, ord int"), ["tv"])
     kept = curate.curated_labels(df, ["ord"], keep=["id"]).collect()
     assert sorted((r.filename, r.tv, r.id) for r in kept) == [("b", 0, "4"), ("c", 1, "5")]
+    again = curate.curated_labels(df, ["ord", "id"], keep=["id"]).collect()
+    assert sorted((r.filename, r.tv, r.id) for r in again) == [("b", 0, "4"), ("c", 1, "5")]
     assert curate.agreed(df).count() == 3
     assert curate.keep_first(df, "filename", ["ord"]).filter("filename = 'b'").first().id == "4"
     with pytest.raises(Exception, match="not a whole number: x"):
