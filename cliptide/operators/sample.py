@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliptide.operators.exact import hash_key, hash_parts, hash_rank, lowest_by_hash, names, row_index
+from cliptide.operators.exact import attach, hash_key, hash_parts, hash_rank, lowest_by_hash, names, row_index
 
 
 def shuffled(df: DataFrame, key: str | Sequence[str], seed: int | str = 42) -> DataFrame:
@@ -115,7 +115,7 @@ def _three_way(df: DataFrame, key, by, seed, test_size: float) -> DataFrame:
 def group_split(df: DataFrame, group: str = "participant_id", seed=42, test_size: float = 0.3) -> DataFrame:
     """70/15/15 split of whole participants: no participant is in two splits."""
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
-    return df.join(_three_way(groups, group, [], seed, test_size), group)
+    return attach(df, _three_way(groups, group, [], seed, test_size), [group])
 
 
 def stratified_split(df: DataFrame, key="filename", label="tv", seed=42, test_size: float = 0.3) -> DataFrame:

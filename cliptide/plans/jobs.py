@@ -37,18 +37,18 @@ def training_set(manifest: DataFrame, features: DataFrame, width: int, length: i
 
 
 def clip_scores(
-    clips: DataFrame, truth: DataFrame, vocabulary: DataFrame, loader: Callable, apply: Callable,
-    classes: dict[str, str], samples: str = "samples",
+    clips: DataFrame, vocabulary: DataFrame, loader: Callable, apply: Callable, classes: dict[str, str],
+    by: Sequence[str] = ("filename", "tv"), samples: str = "samples",
 ) -> DataFrame:
-    """Labelled clips → frame scores → mean per class → one column per named class.
+    """Labelled clips → frame scores → mean of each named class per clip.
 
-    The label join comes first, so that clips without a label are never scored. The named
+    Join the labels before this step, so that clips without a label are never scored. The named
     classes are picked from the score arrays, so a frame adds a few numbers to one aggregation.
     """
-    scored = score.frame_scores(curate.labelled(clips, truth), loader, apply, samples)
+    scored = score.frame_scores(clips.select(*by, samples), loader, apply, samples)
     index = score.class_indices(vocabulary, list(classes))
     picked = [F.avg(F.get("scores", F.lit(index[shown]))).alias(column) for shown, column in classes.items()]
-    return scored.groupBy("filename", "tv").agg(*picked)
+    return scored.groupBy(*by).agg(*picked)
 
 
 def score_corpus(
@@ -57,17 +57,16 @@ def score_corpus(
 ) -> DataFrame:
     """Listed (path, length) audio files → label join → decode → resample → ``clip_scores``.
 
-    Only names and sizes meet the labels; the audio is read afterwards, by the task that
-    decodes it, and never shuffled.
+    Only names and sizes meet the labels (filename, tv); the audio is read afterwards, by the
+    task that decodes it, and is never shuffled.
     """
     named = listed.withColumn("filename", labels.base_name(F.col("path")))
-    wanted = media.spread_by_bytes(named.join(truth.select("filename"), "filename", "left_semi"))
-    decoded = media.good_records(media.decode_wav(wanted.select("path")))
+    wanted = media.spread_by_bytes(curate.labelled(named, truth.select("filename", "tv")))
+    decoded = media.good_records(media.decode_wav(wanted, keep=["filename", "tv"]))
     level = F.when(F.col("sr") == rate, F.col("samples").cast("array<double>")).otherwise(
         spectral.resample_array(F.col("samples"), F.col("sr"), rate)
     )
-    clips = decoded.select(labels.base_name(F.col("path")).alias("filename"), level.alias("samples"))
-    return clip_scores(clips, truth, vocabulary, loader, apply, classes)
+    return clip_scores(decoded.withColumn("samples", level), vocabulary, loader, apply, classes)
 
 
 def fold_comparison(predictions: DataFrame, models: Sequence[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cliptide.operators import evaluate, score, sequence
+from cliptide.operators import curate, evaluate, score, sequence
 from cliptide.plans import bindings as b
 from cliptide.plans import jobs
 from cliptide.plans.registry import query
@@ -268,8 +268,6 @@ FLAGGED = """src AS (SELECT 'Talk' AS subset, l_extendedprice AS score FROM line
 
 @query("a14_histogram_of_flags", _histogram_sql(FLAGGED, 10))
 def _(spark, sf):
-    from cliptide.operators import curate
-
     wide = b.table(spark, sf, "lineitem").select(
         F.col("l_extendedprice").alias("score"),
         (F.col("l_returnflag") == "R").cast("int").alias("Talk"),
@@ -331,7 +329,8 @@ def _(spark, sf):
 def _(spark, sf):
     clips = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("filename"), F.col("embedding").alias("samples"))
     truth = b.table(spark, sf, "labels").select(F.col("doc_id").alias("filename"), F.col("quality").alias("tv"))
-    scored = jobs.clip_scores(clips, truth, b.vocabulary(spark, sf), no_weights, framewise_logistic, PICKED)
+    clips = curate.labelled(clips, truth, "filename")
+    scored = jobs.clip_scores(clips, b.vocabulary(spark, sf), no_weights, framewise_logistic, PICKED)
     return scored.select("filename", "tv", *[F.round(c, 4).alias(c) for c in PICKED.values()])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -17,6 +17,7 @@ import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
@@ -65,8 +66,9 @@ def _open_pcm(path: str, content: bytes | None):
         yield clip
 
 
-def _bytes_or_path(files: DataFrame) -> DataFrame:
-    return files.select("path", "content") if "content" in files.columns else files.select("path")
+def _bytes_or_path(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    used = ["path", "content"] if "content" in files.columns else ["path"]
+    return files.select(*used, *keep)
 
 
 def wav_metadata(files: DataFrame) -> DataFrame:
@@ -93,19 +95,20 @@ def duration(metadata: DataFrame) -> DataFrame:
     return metadata.withColumn("duration", F.try_divide(F.col("n_samples"), F.col("sr")))
 
 
-def decode_wav(files: DataFrame, chunk: int | None = None) -> DataFrame:
-    """(path, sr, channels, chunk_idx, samples, error): mono float samples in [-1, 1).
+def decode_wav(files: DataFrame, chunk: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, sr, channels, chunk_idx, samples, error, keep…): mono float samples in [-1, 1).
 
     16-bit PCM is scaled by 1/32768 and its channels are averaged. With ``chunk`` the clip is
     cut into full chunks of that many samples, each its own row; otherwise it is one row. Join
-    the labels before this step, so that unlabelled clips are not decoded.
+    the labels before this step and ``keep`` their columns: then unlabelled clips are not
+    decoded, and no join has to move samples.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "sr", "channels", "chunk_idx", "samples", "error"]
         types = {"sr": "Int32", "channels": "Int32", "chunk_idx": "Int32"}
         for batch in batches:
-            for path, content in _records(batch):
+            for place, (path, content) in enumerate(_records(batch)):
                 try:
                     with _open_pcm(path, content) as clip:
                         rate, channels, frames = clip.getframerate(), clip.getnchannels(), clip.getnframes()
@@ -119,10 +122,15 @@ def decode_wav(files: DataFrame, chunk: int | None = None) -> DataFrame:
                 except Exception as error:
                     rows = [(path, None, None, None, None, f"{type(error).__name__}: {error}")]
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype(types)
+                    kept = {name: batch[name].iloc[place] for name in keep}
+                    yield pd.DataFrame(rows, columns=columns).astype(types).assign(**kept)
 
-    schema = "path string, sr int, channels int, chunk_idx int, samples array<float>, error string"
-    return _bytes_or_path(files).mapInPandas(read, schema)
+    schema = T.StructType.fromDDL(
+        "path string, sr int, channels int, chunk_idx int, samples array<float>, error string"
+    )
+    for name in keep:
+        schema = schema.add(files.schema[name])
+    return _bytes_or_path(files, keep).mapInPandas(read, schema)
 
 
 def encode_wav(df: DataFrame, rate: int, samples: str = "samples", name: str = "content") -> DataFrame:
