@@ -4,12 +4,74 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.llm import line_dedup, warc
-from cliptide.llm.common import table
+from cliptide.llm import decontaminate, language, line_dedup, pieces, warc
+from cliptide.llm.common import held_out, table
 from cliptide.llm.registry import query
 
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A public SentencePiece model; see the README of that folder.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op1_sentencepiece")
+def _(spark, sf):
+    model = pieces.load(PIECE_MODEL)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, model).select(
+        "doc_id", F.col("pieces.ids").alias("ids"), F.col("pieces.n_bytes").alias("n_byte_pieces"),
+        F.coalesce(F.translate("text", "\u2581", " "), F.lit("")).alias("text"),
+    )
+    decoded = pieces.decode(encoded, model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", "ids",
+        F.sha2(F.col("decoded.text").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded.text") == F.col("text")).alias("round_trip"),
+    )
+
+
+@query("op2_language_mixture")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    marked = language.identify(docs.select("doc_id", "text"), model)
+    return marked.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
+DECONTAMINATION_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), pattern AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), gram AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM pattern))
+), hit AS (
+  SELECT doc_id, i, n, item_id FROM gram JOIN pattern USING (n, gram)
+), word_hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word_hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query("op3_benchmark_decontamination", DECONTAMINATION_SQL)
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_contaminated(docs, table(spark, sf, "benchmark"))
+    return marked.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        "found.items_sha256", "found.contaminated",
+    )
+
+
 LINE_SQL = f"""
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
