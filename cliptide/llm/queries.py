@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, language, line_dedup, pieces, warc
+from cliptide.llm import decontaminate, language, line_dedup, near_dup, pieces, warc
 from cliptide.llm.common import held_out, table
 from cliptide.llm.registry import query
 
@@ -98,6 +98,32 @@ def _(spark, sf):
     )
 
 
+NEAR_SQL = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+), found AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM found LEFT JOIN sized USING (doc_id)
+"""
+
+
+@query("op9_setsketch_near_dedup", NEAR_SQL)
+def _(spark, sf):
+    return near_dup.group(table(spark, sf, "documents"), near_dup.Rule(size=3, share=85))
+
+
 WARC_SQL = """
 WITH page AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages
