@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, language, line_dedup, near_dup, pieces, warc
+from cliptide.llm import decontaminate, language, licenses, line_dedup, near_dup, neighbours, pieces, suffix_dedup, toxicity, warc
 from cliptide.llm.common import held_out, table
 from cliptide.llm.registry import query
 
@@ -98,6 +98,78 @@ def _(spark, sf):
     )
 
 
+@query("op5_hnsw_neighbours")
+def _(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.search(neighbours.index(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op6_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
+def _containment_sql() -> str:
+    notices = ", ".join("('{}', '{}')".format(*n) for n in licenses.NOTICES)
+    words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH template AS (
+  SELECT license, {words.format(SQL_LOWER.format('body'))} AS w FROM (VALUES {notices}) t(license, body)
+), own AS (
+  SELECT DISTINCT license, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM template)
+), sized AS (
+  SELECT license, count(*) AS n FROM own GROUP BY 1
+), doc AS (
+  SELECT doc_id, {words.format(SQL_LOWER.format("coalesce(text, '')"))} AS w FROM documents
+), shingle AS (
+  SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM doc)
+), hit AS (
+  SELECT doc_id, license, count(DISTINCT s) AS c, min(pos) AS first_word FROM shingle JOIN own USING (s) GROUP BY 1, 2
+)
+SELECT doc_id, license, c / n AS containment, first_word FROM hit JOIN sized USING (license) WHERE c >= 0.8 * n
+"""
+
+
+@query("op7_license_scan", _containment_sql())
+def _(spark, sf):
+    return licenses.scan(table(spark, sf, "documents")).drop("n_windows")
+
+
+REPEAT_SQL = """
+WITH doc AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), byte AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 200 <= len(h) THEN substr(h, 2 * i + 1, 200) END AS s
+  FROM (SELECT *, unnest(range(0, len(h) // 2)) AS i FROM doc)
+), again AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS later FROM byte WHERE s IS NOT NULL
+), cover AS (
+  SELECT byte.doc_id, byte.i, b, coalesce(max(later::INT) OVER (PARTITION BY byte.doc_id ORDER BY byte.i ROWS 99 PRECEDING), 0) AS gone
+  FROM byte LEFT JOIN again ON again.doc_id = byte.doc_id AND again.i = byte.i
+), edge AS (
+  SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM cover
+), cut AS (
+  SELECT doc_id, count(*) AS n_bytes, sum(gone)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans,
+         sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (gone = 0), ''))) AS kept_sha256
+  FROM edge GROUP BY 1
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op8_suffix_dedup", REPEAT_SQL)
+def _(spark, sf):
+    done = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return done.select(
+        "doc_id", "cut.n_bytes", "cut.n_removed", F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
+
+
 NEAR_SQL = f"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
