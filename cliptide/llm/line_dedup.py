@@ -65,8 +65,11 @@ class LineRuns:
     def _merged(self, runs: list[str]) -> DataFrame:
         rows = self.spark.table(runs[0])
         for name in runs[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
+            run = self.spark.table(name).withColumnsRenamed({"n": "more", "holder": "other"})
+            rows = rows.join(run.hint("merge"), KEY, "full").select(
+                *KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"), F.greatest("holder", "other").alias("holder")
+            )
+        return rows
 
     def merged(self) -> DataFrame:
         return self._merged(self.runs())
