@@ -37,12 +37,6 @@ def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def tasks_for(df: DataFrame, per_task: int, bytes_per_task: int = 64 << 20) -> int:
-    """How many tasks to deal the rows of ``df`` to: by rows, and at least the session's setting."""
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, -(-df.count() // per_task))
-
-
 def plain_bytes(column) -> list[bytes | None]:
     """The values of an Arrow string column as bytes."""
     import pyarrow as pa

@@ -7,8 +7,6 @@ with the same two words are compared with the text word by word.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +155,3 @@ def _added(df: DataFrame, one: str, other: str) -> DataFrame:
         return a["n_words"], sum(y - x for x, y in spans), spans, sorted({*a["items"], *b["items"]})
 
     return df.withColumn(one, both(one, other)).drop(other)
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense text features, calibrated isotonically.
 
-The lexicon is learned from the labelled rows: words whose share of toxic documents is far above
-that of the rest. Features are lexicon densities, hits near a second person, capitals, punctuation
+The lexicon is learned from the labelled rows: words, and stems that begin words, whose share of
+toxic documents is far above that of the rest. Features are lexicon densities, hits near a second person, capitals, punctuation
 and obfuscation rates. Trees are fitted on two of the three learning folds and calibrated on the
 third.
 """
@@ -28,6 +28,9 @@ MAX_LEXICON = 300
 THRESHOLD = 0.3
 NEAR = 3
 
+#: Stems of so many letters are learned, so that inflected words are known too; "*" marks a stem.
+STEMS = range(4, 9)
+
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta vous votre tú tus usted ustedes".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
 
@@ -42,22 +45,40 @@ FEATURES = [
 ]
 
 
-def features(value: bytes | None, lexicon: dict[str, float]) -> list[float]:
+class Lexicon:
+    """Weights of words and stems; a word has that of its longest entry."""
+
+    def __init__(self, entries: dict[str, float]):
+        self.entries = entries
+        self.begins = {e[: STEMS[0]] for e in entries if e.endswith("*")}
+
+    def find(self, word: str) -> str | None:
+        if word in self.entries:
+            return word
+        if word[: STEMS[0]] in self.begins:
+            for size in reversed(STEMS):
+                if len(word) > size and (stem := word[:size] + "*") in self.entries:
+                    return stem
+        return None
+
+
+def features(value: bytes | None, lexicon: Lexicon) -> list[float]:
     """The dense features of one text, in the order of ``FEATURES``."""
     text = (value or b"").decode("utf-8", "replace")
     lowered = text.lower()
     words = _WORD.findall(lowered)
     n, hits, persons = max(1, len(words)), [], []
+    entries, begins = lexicon.entries, lexicon.begins
     for i, word in enumerate(words):
-        if word in lexicon:
+        if (word in entries or word[: STEMS[0]] in begins) and lexicon.find(word):
             hits.append(i)
         elif word in SECOND_PERSON:
             persons.append(i)
-    weights = [lexicon[words[i]] for i in hits]
+    weights = [entries[lexicon.find(words[i])] for i in hits]
     places = np.array(persons, float)
     near = sum(bool(len(places)) and np.abs(places - i).min() <= NEAR for i in hits)
     mixed = _MIXED.findall(lowered)
-    disguised = sum(m.translate(LEET).replace("*", "") in lexicon for m in mixed)
+    disguised = sum(lexicon.find(m.translate(LEET).replace("*", "")) is not None for m in mixed)
     cells = np.frombuffer(value or b"", np.uint8)
     size = max(1, len(cells))
     upper, lower = ((cells >= 65) & (cells <= 90)).sum(), ((cells >= 97) & (cells <= 122)).sum()
@@ -73,7 +94,7 @@ def features(value: bytes | None, lexicon: dict[str, float]) -> list[float]:
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], text: str, out: str) -> DataFrame:
-    sent = Sent(docs.sparkSession, lexicon)
+    sent = Sent(docs.sparkSession, Lexicon(lexicon))
     return append_struct(docs, text, out, "values array<double>", lambda vs: ([features(v, sent.value) for v in vs],))
 
 
@@ -88,9 +109,10 @@ class ToxicityModel:
 
 
 def learn_lexicon(rows: DataFrame, limit: int = MAX_LEXICON, least: int = 5, sure: float = 4.0) -> dict[str, float]:
-    """Words of (text, toxic) rows whose log odds of toxic are over ``sure`` standard errors above all others."""
-    lowered = F.lower("text")
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+    """Words and stems of (text, toxic) rows whose log odds of toxic are over ``sure`` standard errors above all others."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    words = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("word"))
     totals = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     total, toxic = float(totals[0]), float(totals[1] or 0)
     t, n = F.sum("toxic").cast("double"), F.count(F.lit(1)).cast("double")
