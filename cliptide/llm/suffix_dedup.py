@@ -299,15 +299,29 @@ def sort_classes(windows: np.ndarray) -> np.ndarray:
         tied = tied[np.repeat(size > 1, size)]
     classes = -1 - np.arange(n)
     if len(tied):
-        cuts = np.flatnonzero(np.diff(group[tied])) + 1
-        for members in np.split(tied, cuts):
-            trie = BlindTrie()
-            rest = padded[members, 8 * SHALLOW_WORDS :]
-            leaves = [trie.leaf(int.from_bytes(r.tobytes(), "big")) for r in rest]
-            classes[members] = members[np.unique(leaves, return_index=True)[1]][leaves]
+        size = 8 * (words.shape[1] - SHALLOW_WORDS)
+        rest, members = padded[tied, 8 * SHALLOW_WORDS :].tobytes(), tied.tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(group[tied])) + 1).tolist(), len(members)]
+        named = []
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            trie, firsts = BlindTrie(), []
+            for i in range(start, stop):
+                leaf = trie.leaf(int.from_bytes(rest[i * size : (i + 1) * size], "big"))
+                if leaf == len(firsts):
+                    firsts.append(members[i])
+                named.append(firsts[leaf])
+        classes[tied] = named
     return classes
 
 
+def _fields(column):
+    """An Arrow column of lists of structs as bounds per row and one array per field."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return bounds, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
 WINDOW_FIELDS = "key long, doc_id long, at int, n int, body binary"
 
 
@@ -315,30 +329,44 @@ def _bodies(batches):
     """Rows (key, doc_id, at, n, body) of the runs to sort; hot ones window by window, repeats without body."""
     import pyarrow as pa
 
+    names, kinds = ["key", "doc_id", "at", "n", "body"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         for start, stop in slices(batch.column(1)):
             part = batch.slice(start, stop - start)
-            out = []
-            hot = []
-            for doc, text, some in zip(part.column(0).to_pylist(), plain_bytes(part.column(1)), part.column(2).to_pylist()):
-                for run in some or ():
-                    if run["kind"] == COLD:
-                        out.append((run["anchor"], doc, run["at"], run["n"], text[run["at"] : run["at"] + run["n"] - 1 + LENGTH]))
-                    else:
-                        body = text[run["at"] : run["at"] + run["n"] - 1 + LENGTH]
-                        hot += [(body[i : i + LENGTH], doc, run["at"] + i) for i in range(len(body) - LENGTH + 1)]
-            hot.sort()
-            for i, (body, doc, at) in enumerate(hot):
-                if i and hot[i - 1][0] == body:
-                    again = hot[i - 1][1:] != (doc, at)
-                    if again:
-                        out.append((0, doc, at, -1, b""))
-                else:
-                    cells = np.frombuffer(body, np.uint8)
-                    out.append((int(Hashes(cells).of(np.array([0]), np.array([LENGTH])).view(np.int64)[0]), doc, at, 1, body))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "doc_id", "at", "n", "body"])
+            bounds, runs_ = _fields(part.column(2))
+            if not bounds[-1]:
+                continue
+            doc = np.repeat(part.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.diff(bounds))
+            at, n = runs_["at"].astype(np.int64), runs_["n"].astype(np.int64)
+            texts = plain_bytes(part.column(1))
+            bodies = []
+            for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
+                bodies += [text[i : i + m - 1 + LENGTH] for i, m in zip(at[a:b].tolist(), n[a:b].tolist())]
+            cold = np.flatnonzero(runs_["kind"] == COLD)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(runs_["anchor"][cold]), pa.array(doc[cold]), pa.array(at[cold], pa.int32()), pa.array(n[cold], pa.int32()),
+                pa.array([bodies[i] for i in cold.tolist()], pa.binary()),
+            ], names)
+            hot = np.flatnonzero(runs_["kind"] == WARM)
+            if len(hot):
+                yield from _hot_windows([bodies[i] for i in hot.tolist()], doc[hot], at[hot], n[hot], runs_["anchor"][hot], names, kinds)
+
+
+def _hot_windows(bodies, doc, at, n, anchor, names, kinds):
+    """The windows of hot runs, dealt by their hash; those that repeat within the slice go without body."""
+    import pyarrow as pa
+
+    joined = b"".join(bodies)
+    begins, within = np.concatenate([[0], np.cumsum(n + LENGTH - 1)[:-1]]), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    cells = np.repeat(begins, n) + within
+    key = Hashes(np.frombuffer(joined, np.uint8)).of(cells, cells + LENGTH).view(np.int64)
+    doc, at = np.repeat(doc, n), np.repeat(at, n) + within
+    first, later = repeats([key, np.repeat(anchor, n)], doc, at)
+    for chosen, size in ((np.flatnonzero(first), 1), (np.flatnonzero(later), -1)):
+        if len(chosen):
+            parts = [joined[c : c + LENGTH] for c in cells[chosen].tolist()] if size == 1 else [b""] * len(chosen)
+            columns = (key[chosen], doc[chosen], at[chosen], np.full(len(chosen), size), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _as_runs(doc: np.ndarray, at: np.ndarray):
@@ -357,7 +385,9 @@ def _sort_bucket(pdf):
     import pandas as pd
 
     done = [pdf[pdf.n == -1].assign(n=1)[["doc_id", "at", "n"]]]
-    pdf = pdf[pdf.n > 0].sort_values("key", kind="stable")
+    pdf = pdf[pdf.n > 0]
+    # A run that is alone with its key repeats nothing: its own windows have the anchor at different places.
+    pdf = pdf[pdf.key.duplicated(keep=False)].sort_values("key", kind="stable")
     total = pdf.n.cumsum().to_numpy()
     key = pdf.key.to_numpy()
     ends = np.flatnonzero(np.append(np.diff(key) != 0, True)) if len(key) else np.empty(0, int)
@@ -388,13 +418,15 @@ def _cut(batches, out_names):
         for start, stop in slices(batch.column(1)):
             part = batch.slice(start, stop - start)
             rows = []
-            for text, some in zip(plain_bytes(part.column(1)), part.column(2).to_pylist()):
+            bounds, found = _fields(part.column(2))
+            every = list(zip(found["at"].tolist(), found["n"].tolist()))
+            for text, first, last in zip(plain_bytes(part.column(1)), bounds[:-1], bounds[1:]):
                 text = text or b""
-                if not some:
+                if first == last:
                     rows.append((len(text), 0, [], text))
                     continue
                 spans: list[list[int]] = []
-                for a, n in sorted((r["at"], r["n"]) for r in some):
+                for a, n in sorted(every[first:last]):
                     b = min(len(text), a + n - 1 + LENGTH)
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b)
