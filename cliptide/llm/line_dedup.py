@@ -154,11 +154,16 @@ def dedup_lines(
         line_keys(whole),
         lambda key: (F.length(key) >= min_chars) & _in_sorted(F.xxhash64(key), F.col("_lost")),
     )
-    kept = F.filter(split, lambda line, i: ~F.get(F.col("_flags"), i))
-    marked = marked.withColumn("_flags", F.when(F.col("_lost").isNotNull(), flags))
+    # The transform names the flags, so that no plan evaluates them once for every line.
+    cut = F.transform(F.array(flags), lambda lost: F.struct(
+        F.size(F.filter(lost, lambda x: x)).alias("n"),
+        F.array_join(F.filter(split, lambda line, i: ~F.get(lost, i)), "\n").alias("kept"),
+    ))[0]
+    clean = F.col("_lost").isNull()
+    marked = marked.withColumn("_cut", F.when(~clean, cut))
     result = F.struct(
         F.size(split).cast("long").alias("n_lines"),
-        F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size(F.filter("_flags", lambda f: f))).cast("long").alias("n_dropped"),
-        F.when(F.col("_lost").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.when(clean, F.lit(0)).otherwise(F.col("_cut.n")).cast("long").alias("n_dropped"),
+        F.when(clean, whole).otherwise(F.col("_cut.kept")).alias("kept"),
     )
     return marked.select("_doc.*", result.alias(free_name(docs, out)))
