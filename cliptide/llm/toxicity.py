@@ -36,7 +36,9 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+")
-_SHOUTED = re.compile(r"\b[^\W\d_a-z]{3,}\b")
+
+#: 1 for letters, 2 for what may stand for one, 0 for the rest.
+_KINDS = np.array([1 if chr(c).isalpha() and c < 128 or c >= 128 else 2 if chr(c) in "0123456789@$!*" else 0 for c in range(256)], np.uint8)
 
 FEATURES = [
     "hits_per_word", "weight_per_word", "log_hits", "top_weight", "distinct_hits", "near_second_person",
@@ -51,6 +53,8 @@ class Lexicon:
     def __init__(self, entries: dict[str, float]):
         self.entries = entries
         self.begins = {e[: STEMS[0]] for e in entries if e.endswith("*")}
+        #: How words begin that may be an entry or a second person.
+        self.gate = {w[: STEMS[0]] for w in (*entries, *SECOND_PERSON)}
 
     def find(self, word: str) -> str | None:
         if word in self.entries:
@@ -68,27 +72,33 @@ def features(value: bytes | None, lexicon: Lexicon) -> list[float]:
     lowered = text.lower()
     words = _WORD.findall(lowered)
     n, hits, persons = max(1, len(words)), [], []
-    entries, begins = lexicon.entries, lexicon.begins
-    for i, word in enumerate(words):
-        if (word in entries or word[: STEMS[0]] in begins) and lexicon.find(word):
+    gate, size = lexicon.gate, STEMS[0]
+    for i in [i for i, word in enumerate(words) if word[:size] in gate]:
+        if lexicon.find(words[i]):
             hits.append(i)
-        elif word in SECOND_PERSON:
+        elif words[i] in SECOND_PERSON:
             persons.append(i)
-    weights = [entries[lexicon.find(words[i])] for i in hits]
+    weights = [lexicon.entries[lexicon.find(words[i])] for i in hits]
     places = np.array(persons, float)
     near = sum(bool(len(places)) and np.abs(places - i).min() <= NEAR for i in hits)
-    mixed = _MIXED.findall(lowered)
-    disguised = sum(lexicon.find(m.translate(LEET).replace("*", "")) is not None for m in mixed)
     cells = np.frombuffer(value or b"", np.uint8)
+    kind = _KINDS[cells]
+    runs = kind[np.flatnonzero(np.diff(kind, prepend=np.uint8(3)))]
+    inside = (runs[1:-1] == 2) & (runs[:-2] == 1) & (runs[2:] == 1) if len(runs) > 2 else np.zeros(0, bool)
+    mixed = _MIXED.findall(lowered) if inside.any() else []
+    disguised = sum(lexicon.find(m.translate(LEET).replace("*", "")) is not None for m in mixed)
     size = max(1, len(cells))
-    upper, lower = ((cells >= 65) & (cells <= 90)).sum(), ((cells >= 97) & (cells <= 122)).sum()
-    marks = ((cells >= 33) & (cells <= 47)) | ((cells >= 58) & (cells <= 64)) | ((cells >= 91) & (cells <= 96)) | ((cells >= 123) & (cells <= 126))
-    digits = (cells >= 48) & (cells <= 57)
+    counts = np.bincount(cells, minlength=256)
+    upper, lower, digits = counts[65:91].sum(), counts[97:123].sum(), counts[48:58].sum()
+    marks = counts[33:127].sum() - upper - lower - digits
+    capital = (cells >= 65) & (cells <= 90)
+    three = capital[:-2] & capital[1:-1] & capital[2:] if len(cells) > 2 else capital[:0]
+    shouted = int(three[:1].sum() + (three[1:] & ~three[:-1]).sum())
     repeats = ((cells[2:] == cells[1:-1]) & (cells[1:-1] == cells[:-2])).sum() if len(cells) > 2 else 0
     return [float(x) for x in (
         100 * len(hits) / n, 100 * sum(weights) / n, np.log1p(len(hits)), max(weights, default=0.0), len({words[i] for i in hits}), near,
-        100 * len(persons) / n, upper / max(1, upper + lower), 100 * len(_SHOUTED.findall(text)) / n, 100 * (cells == 33).sum() / size,
-        100 * (cells == 63).sum() / size, 100 * marks.sum() / size, 100 * digits.sum() / size,
+        100 * len(persons) / n, upper / max(1, upper + lower), 100 * shouted / n, 100 * counts[33] / size,
+        100 * counts[63] / size, 100 * marks / size, 100 * digits / size,
         100 * len(mixed) / n, disguised, 100 * repeats / size, np.log1p(len(words)),
     )]
 
