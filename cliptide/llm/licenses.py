@@ -39,7 +39,7 @@ NOTICES = (
 def words(text: Column) -> Column:
     """Runs of ASCII digits and letters (A-Z lower-cased) and all other non-ASCII characters."""
     spaced = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.split(F.trim(spaced), " ")  # no word at all: one empty word
 
 
 def _starts(items: Column, size: int = SHINGLE) -> Column:
@@ -52,18 +52,24 @@ def shingles(items: Column) -> Column:
     return F.transform(_starts(items), lambda i: F.array_join(F.slice(items, i + 1, SHINGLE), " "))
 
 
-def _hashes(items: Column) -> Column:
-    """A hash per shingle, from those of its words."""
-    return F.transform(_starts(items), lambda i: F.xxhash64(*[F.get(items, i + k) for k in range(SHINGLE)]))
+def _word_hashes(items: Column) -> Column:
+    return F.transform(items, lambda w: F.xxhash64(w))
+
+
+def _hashes(words_: Column) -> Column:
+    """A hash per shingle, from the hashes of its words."""
+    every = F.transform(words_, lambda h, i: F.xxhash64(h, *[F.get(words_, i + k) for k in range(1, SHINGLE)]))
+    return F.slice(every, F.lit(1), F.greatest(F.size(words_) - SHINGLE + 1, F.lit(0)))
 
 
 def _signature(hashes: Column) -> Column:
     """Smallest hash per bin; the bin is the leading bits, so that sorting brings a bin together."""
-    ordered = F.sort_array(hashes)
-    return F.filter(
-        ordered,
-        lambda h, i: (i == 0) | (F.shiftright(h, 64 - BIN_BITS) != F.shiftright(F.get(ordered, i - 1), 64 - BIN_BITS)),
+    bin_of = lambda h: F.shiftright(h, 64 - BIN_BITS)
+    # The outer transform only names the sorted array, which would be sorted again for every element.
+    firsts = F.transform(
+        F.array(F.sort_array(hashes)), lambda s: F.filter(s, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(s, i - 1))))
     )
+    return firsts[0]
 
 
 def scan(
@@ -96,13 +102,14 @@ def scan(
 
 def _scan(docs: DataFrame, templates: DataFrame, doc_id: str, text: str, containment: float) -> DataFrame:
     known = templates.select("license", words(F.col("body")).alias("w")).select(
-        "license", F.size("w").alias("length"), F.array_distinct(shingles(F.col("w"))).alias("own"), F.array_distinct(_hashes(F.col("w"))).alias("keys")
+        "license", F.size("w").alias("length"), F.array_distinct(shingles(F.col("w"))).alias("own"), F.array_distinct(_hashes(_word_hashes(F.col("w")))).alias("keys")
     ).collect()
     short = [r.license for r in known if r.length < SHINGLE]
     if short:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     longest = max(r.length for r in known)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("h", _hashes(F.col("w")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    rows = rows.withColumn("g", _word_hashes(F.col("w"))).withColumn("h", _hashes(F.col("g")))
     last = F.greatest(F.size("h") - WINDOW + STRIDE - 1, F.lit(0))
     begins = F.when(F.size("h") > 0, F.transform(F.sequence(F.lit(0), F.floor(last / STRIDE).cast("int")), lambda k: k * STRIDE)).otherwise(
         F.array().cast("array<int>")
