@@ -3,7 +3,7 @@
 Spark functions only. A window's signature is a one-permutation MinHash: the hashes of its word
 shingles fall into bins by their leading bits, and the smallest of each bin is a band of one value.
 With ``2 ** BIN_BITS`` bins and at most ``WINDOW`` shingles, a shingle that window and template share
-loses its bin to another with a probability below WINDOW / 2 ** (BIN_BITS + 1), or one in a thousand;
+loses its bin to another with a probability below WINDOW / 2 ** (BIN_BITS + 1), or 1 in 65,000;
 a template is missed only if that happens to all its shingles in the window. Windows overlap by
 half. Templates retrieved for a window are compared with the words around it.
 """
@@ -20,7 +20,7 @@ from cliptide.llm.common import ascii_lower
 SHINGLE = 5
 #: Shingles in a window and from one window to the next.
 WINDOW, STRIDE = 32, 16
-BIN_BITS = 14
+BIN_BITS = 20
 CONTAINMENT = 0.8
 #: Templates searched for in one pass over the documents.
 PER_PASS = 64
