@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard's task builds a hierarchical graph and
-stores it as flat neighbour arrays, one row per shard. Queries come in blocks; every block meets
-every shard once, and each query's best of all shards are merged. Within a shard equal vectors are
-one node, and a coordinate is added that gives all vectors the same length, so that the largest
-inner product is the smallest distance.
+Vectors are dealt to shards by their length, in bands of a factor of two, and by a hash of their id.
+Each shard's task builds a hierarchical graph and stores it as flat neighbour arrays, one row per
+shard. Queries come in blocks; every block meets every shard once, and each query's best of all
+shards are merged. Within a shard a coordinate is added that gives all vectors the same length, so
+that the largest inner product is the smallest distance. Vectors closer than ``NEAR`` to another are
+one node of the graph with it; all members of the nodes found are ranked by their exact scores, and
+where a member of a further node could be among the best, so are all that could be.
 """
 
 from __future__ import annotations
@@ -13,18 +15,20 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliptide.operators.exact import settled
+from cliptide.operators.exact import settled, small_table
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
 LINKS = 12
 EF_BUILD = 64
 EF_SEARCH = 64
+#: Vectors within this distance of a node's first one, as a share of the longest, are its members.
+NEAR = 0.01
 
-INDEX = "dim int, shard int, ids binary, node_of binary, nodes binary, entry int, levels int, row_starts binary, level_nodes binary, links binary, widths binary"
+INDEX = "dim int, band int, shard int, ids binary, vector_of binary, vectors binary, members binary, entry int, levels int, row_starts binary, level_nodes binary, links binary, widths binary"
 
 
 @dataclass
@@ -38,9 +42,12 @@ class Graph:
 
     def nearest(self, query: np.ndarray, size: int, seen: np.ndarray, stamp: int) -> list[tuple[float, int]]:
         """(distance, node) of about the ``size`` nearest nodes, nearest first."""
-        at = [(-float(self.points[self.entry] @ query), self.entry)]
+        first = (-float(self.points[self.entry] @ query), self.entry)
+        at = [first]
         for level in range(len(self.links) - 1, 0, -1):
             at = self._descend(query, at[0], level)
+        if at != [first]:
+            at.append(first)  # from which every node can be reached
         return self.around(query, at, size, 0, seen, stamp)
 
     def _descend(self, query, best, level):
@@ -145,9 +152,35 @@ def build(points: np.ndarray, seed: int = 0) -> Graph:
                 put(level, other, _spread(points, far[order], around[order], most[level]))
         if top[node] > height:
             height, graph.entry = int(top[node]), node
+    _join_up(graph)
     return graph
 
 
+def _join_up(graph: Graph) -> None:
+    """Give each node that cannot be reached from the entry a link from the nearest one that can."""
+    reached = np.zeros(len(graph.points), bool)
+
+    def spread_from(nodes):
+        while len(nodes):
+            reached[nodes] = True
+            near = np.unique(graph.links[0][nodes])
+            near = near[near >= 0]
+            nodes = near[~reached[near]]
+
+    spread_from(np.array([graph.entry]))
+    for node in range(len(reached)):
+        if reached[node]:
+            continue
+        known = np.flatnonzero(reached)
+        to = known[int((graph.points[known] @ graph.points[node]).argmax())]
+        links = graph.links[0]
+        held = int((links[to] >= 0).sum())
+        if held == links.shape[1]:
+            links = graph.links[0] = np.pad(links, ((0, 0), (0, LINKS)), constant_values=-1)
+        links[to, held] = node
+        spread_from(np.array([node]))
+
+
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, embedding, dim) of the rows that take part."""
     values = F.col(embedding).cast("array<double>")
@@ -156,21 +189,46 @@ def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & sound & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
 
 
+def length_band(embedding: str) -> Column:
+    """Base-2 logarithm of the length, rounded; lengths near 1 share a band."""
+    largest = F.array_max(F.transform(embedding, lambda x: F.abs(x)))
+    squares = F.aggregate(embedding, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+    return F.floor(F.log2(largest) + F.log2(squares) / 2 + 0.5).cast("int")
+
+
+def _grouped(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows by group, its first row in front; the others are within NEAR of it."""
+    group = np.full(len(points), -1)
+    firsts: list[int] = []
+    for i in range(len(points)):
+        if group[i] < 0:
+            free = np.flatnonzero(group < 0)
+            close = free[points[free] @ points[i] >= 1 - NEAR**2 / 2]
+            group[close] = len(firsts)
+            group[i] = len(firsts)
+            firsts.append(i)
+    others = np.ones(len(points), bool)
+    others[firsts] = False
+    order = np.lexsort((others, group))
+    return order, np.searchsorted(group[order], np.arange(len(firsts) + 1))
+
+
 def _index_shard(pdf):
     import pandas as pd
 
     pdf = pdf.sort_values("vec_id", kind="stable")
-    vectors = np.array(pdf.embedding.tolist(), np.float64)
-    nodes, node_of = np.unique(vectors, axis=0, return_inverse=True)
-    mixed = np.random.default_rng(1).permutation(len(nodes))  # np.unique has sorted them
-    place = np.empty(len(nodes), np.int64)
-    place[mixed] = np.arange(len(nodes))
-    nodes, node_of = nodes[mixed], place[node_of.ravel()]
-    graph = build(level_lengths(nodes))
+    vectors, vector_of = np.unique(np.array(pdf.embedding.tolist(), np.float64), axis=0, return_inverse=True)
+    mixed = np.random.default_rng(1).permutation(len(vectors))  # np.unique has sorted them
+    order, starts = _grouped(level_lengths(vectors[mixed]))
+    order = mixed[order]
+    place = np.empty(len(vectors), np.int64)
+    place[order] = np.arange(len(vectors))
+    vectors, vector_of = vectors[order], place[vector_of.ravel()]
+    graph = build(level_lengths(vectors)[starts[:-1]])
     return pd.DataFrame([{
-        "dim": vectors.shape[1], "shard": int(pdf.shard.iloc[0]),
-        "ids": pdf.vec_id.to_numpy(np.int64).tobytes(), "node_of": node_of.astype(np.int64).tobytes(), "nodes": nodes.tobytes(),
-        "entry": graph.entry, "levels": len(graph.links),
+        "dim": vectors.shape[1], "band": int(pdf.band.iloc[0]), "shard": int(pdf.shard.iloc[0]),
+        "ids": pdf.vec_id.to_numpy(np.int64).tobytes(), "vector_of": vector_of.astype(np.int64).tobytes(), "vectors": vectors.tobytes(),
+        "members": starts.astype(np.int64).tobytes(), "entry": graph.entry, "levels": len(graph.links),
         "row_starts": np.cumsum([0] + [len(x) for x in graph.links]).astype(np.int64).tobytes(),
         "level_nodes": b"".join(r.astype(np.int32).tobytes() for r in graph.rows),
         "links": b"".join(x.tobytes() for x in graph.links),
@@ -178,24 +236,26 @@ def _index_shard(pdf):
     }])
 
 
-def level_lengths(nodes: np.ndarray) -> np.ndarray:
-    """The nodes with a coordinate added that makes them equally long, in single precision."""
-    squares = (nodes**2).sum(axis=1)
+def level_lengths(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with a coordinate added that makes them equally long, scaled to length 1."""
+    scaled = vectors / np.abs(vectors).max()
+    squares = (scaled**2).sum(axis=1)
     rest = np.sqrt(np.maximum(squares.max() - squares, 0))
-    return np.ascontiguousarray(np.column_stack([nodes, rest]) / max(np.sqrt(squares.max()), 1e-300), np.float32)
+    return np.column_stack([scaled, rest]) / np.sqrt(squares.max())
 
 
 def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard with its vectors and graph, written below the shared folder."""
-    rows = valid(vectors, vec_id, embedding)
-    shards = max(1, -(-rows.count() // shard_rows))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return settled(placed.groupBy("dim", "shard").applyInPandas(_index_shard, INDEX), "graphs")
+    rows = valid(vectors, vec_id, embedding).withColumn("band", length_band("embedding"))
+    shards = rows.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).alias("shards"))
+    placed = rows.join(small_table(shards), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).drop("shards")
+    return settled(placed.groupBy("dim", "band", "shard").applyInPandas(_index_shard, INDEX), "graphs")
 
 
-def _open(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    dim = row["dim"]
-    nodes = np.frombuffer(row["nodes"], np.float64).reshape(-1, dim)
+def _open(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph, the distinct vectors, where each node's begin, ids and the vector of each."""
+    vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+    members = np.frombuffer(row["members"], np.int64)
     starts, widths = np.frombuffer(row["row_starts"], np.int64), np.frombuffer(row["widths"], np.int64)
     flat, rows = np.frombuffer(row["links"], np.int32), np.frombuffer(row["level_nodes"], np.int32).reshape(len(widths), -1)
     links, at = [], 0
@@ -203,26 +263,35 @@ def _open(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
         size = (starts[level + 1] - starts[level]) * width
         links.append(flat[at : at + size].reshape(-1, width))
         at += size
-    return Graph(level_lengths(nodes), row["entry"], list(rows), links), nodes, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["node_of"], np.int64)
+    graph = Graph(level_lengths(vectors)[members[:-1]], row["entry"], list(rows), links)
+    return graph, vectors, members, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vector_of"], np.int64)
 
 
 def _search_shard(row: dict, k: int, ef: int):
     """(query_id, vec_id, score) of a block's best in one shard."""
-    graph, nodes, ids, node_of = _open(row)
-    order = np.argsort(node_of, kind="stable")  # ids ascend within a node
-    starts = np.searchsorted(node_of[order], np.arange(len(nodes) + 1))
-    seen = np.zeros(len(nodes), np.int64)
+    graph, vectors, members, ids, vector_of = _open(row)
+    order = np.argsort(vector_of, kind="stable")  # ids ascend within a vector
+    starts = np.searchsorted(vector_of[order], np.arange(len(vectors) + 1))
+    firsts = ids[order[starts[:-1]]]
+    seen = np.zeros(len(graph.points), np.int64)
+    points = level_lengths(vectors)
+    radius = np.sqrt(((points - np.repeat(graph.points, np.diff(members), axis=0)) ** 2).sum(axis=1).max())
     queries = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"])
     for stamp, (query_id, query) in enumerate(zip(np.frombuffer(row["q_ids"], np.int64), queries), 1):
-        flat = np.append(query / max(np.abs(query).max(), 1e-300), 0).astype(np.float32)
-        near = np.array([n for _, n in graph.nearest(flat, ef, seen, stamp)])
-        scores = nodes[near] @ query
+        flat = np.append(query / np.abs(query).max(), 0)
+        found = graph.nearest(flat, ef, seen, stamp)
+        near = np.concatenate([np.arange(members[n], members[n + 1]) for _, n in found])
+        if radius and len(near) > k:
+            least = np.partition(points[near] @ flat, -k - 1)[-k - 1] - radius * np.linalg.norm(flat)
+            if -found[-1][0] >= least:  # members of further nodes may be among the best: all that can be are ranked
+                near = np.flatnonzero(np.repeat(graph.points @ flat >= least, np.diff(members)))
+        scores = (vectors[near] * query).sum(axis=1)  # row by row: equal vectors have equal scores
         best = []
-        for i in np.lexsort((ids[order[starts[near]]], -scores)):
-            members = ids[order[starts[near[i]] : starts[near[i] + 1]]][: k + 1]
-            best += [(int(query_id), int(m), float(scores[i])) for m in members if m != query_id]
-            if len(best) >= k + 1:
+        for i in np.lexsort((firsts[near], -scores)):
+            if len(best) >= k and scores[i] < best[k - 1][2]:
                 break
+            same = ids[order[starts[near[i]] : starts[near[i] + 1]]]
+            best += [(int(query_id), int(m), float(scores[i])) for m in same[same != query_id][:k]]
         yield from sorted(best, key=lambda r: (-r[2], r[1]))[:k]
 
 
@@ -253,9 +322,9 @@ def search(graphs: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedd
     every = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(pdf):
-        found = [r for row in pdf.to_dict("records") for r in _search_shard(row, k, ef)]
+        found = [r for row in pdf.to_dict("records") for r in _search_shard(row, k, max(ef, k + 1))]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    met = every.join(packed, ["dim", "block"]).groupBy("dim", "shard", "block").applyInPandas(run, "query_id long, vec_id long, score double")
+    met = every.join(packed, ["dim", "block"]).groupBy("dim", "band", "shard", "block").applyInPandas(run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return met.select("query_id", place, "vec_id", "score").filter(F.col("rank") <= k)

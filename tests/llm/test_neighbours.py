@@ -65,3 +65,44 @@ def test_vectors_that_take_no_part(spark):
 
 def test_repeated_rows_are_found_once_each(spark):
     assert found(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0])], k=3) == {0: [(1, 1.0), (1, 1.0), (2, 0.5)]}
+
+
+def recall(spark, points):
+    rows = [(i, p.tolist()) for i, p in enumerate(points.astype(np.float32))]
+    got = found(spark, rows, shard_rows=1000)
+    return np.mean([len({i for i, _ in best(rows, q, 20)} & {i for i, _ in got[q]}) / 20 for q in range(0, len(rows), 20)])
+
+
+@pytest.mark.parametrize("noise", [3e-2, 1e-2, 1e-3, 3e-4, 1e-4, 1e-6])
+def test_recall_in_a_tight_group(spark, noise):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(1500, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[::3] = points[0] + rng.normal(size=(500, 64)) * noise / 8
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    assert recall(spark, points) >= 0.95
+
+
+def test_recall_beside_one_long_vector(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(1500, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[7] *= 5000
+    assert recall(spark, points) >= 0.95
+
+
+def test_every_node_is_reached():
+    rng = np.random.default_rng(6)
+    points = np.concatenate([np.repeat(np.eye(8), 60, axis=0) + rng.normal(size=(480, 8)) * 1e-3, rng.normal(size=(40, 8))])
+    graph = neighbours.build(neighbours.level_lengths(points))
+    reached, ahead = {graph.entry}, [graph.entry]
+    while ahead:
+        near = {n for n in graph.links[0][ahead.pop()].tolist() if n >= 0} - reached
+        reached |= near
+        ahead += near
+    assert len(reached) == len(points)
+
+
+def test_more_neighbours_than_the_search_holds(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(8).normal(size=(200, 8)))]
+    assert len(found(spark, rows, k=150, queries=[0])[0]) == 150
