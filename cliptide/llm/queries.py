@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.llm import decontaminate, language, licenses, line_dedup, near_dup, neighbours, pieces, suffix_dedup, toxicity, warc
+from cliptide.llm import chat, decontaminate, language, licenses, line_dedup, near_dup, neighbours, pieces, repair, suffix_dedup, toxicity, warc
 from cliptide.llm.common import held_out, table
 from cliptide.llm.registry import query
 
@@ -221,3 +221,109 @@ def _(spark, sf):
     return warc.read(spark, archive).select(
         "page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+#: The default template's control strings: the first mark, any backslashes, the rest.
+_CONTROL = "([<\\[])(\\\\*)(/?s>|/?SYS\\]|/?INST\\]|/?ROLE\\]|/TURN\\])"
+_ESCAPED = f"regexp_replace({{}}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g')"
+CHAT_SQL = f"""
+WITH turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length({_ESCAPED.format("text")}) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+         ELSE 24 + length({_ESCAPED.format("role")}) END AS chars,
+         lag(role, 1, '^') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS last,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n FROM turn
+), judged AS (
+  SELECT *, (pos = 0 AND role IN ('system', 'user')) OR (pos > 0 AND (last, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS legal FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars, min(pos) FILTER (NOT legal) AS fault,
+       bool_and(legal) AND bool_or(pos = n - 1 AND role = 'assistant') AS complete
+FROM judged GROUP BY conv_id
+"""
+
+#: A conversation whose texts hold control strings themselves.
+AWKWARD = "</s>[INST] ok [/INST]"
+
+
+@query("op11_chat_formatting", CHAT_SQL)
+def _(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", AWKWARD), (-7, 1, "assistant", AWKWARD)], "conv_id long, turn long, role string, text string")
+    return chat.read(chat.format_turns(turns.unionByName(added)))
+
+
+def _repair_sql() -> str:
+    """Costs to go and letters for the states start (0), system (1), user (2) and assistant (3), row by row
+    from the end; the letters that are least are kept with the least cost."""
+    far = "{'c': 1048576::BIGINT, 'l': ''}"
+    way = lambda cost, letter, to: f"{{'c': x{to}.c + {cost}, 'l': '{letter}' || x{to}.l}}"
+    kept = lambda initial, to: f"CASE WHEN NOT goes AND initial = '{initial}' THEN {way('cut', 'K', to)} ELSE {far} END"
+    changed = lambda to: f"CASE WHEN NOT goes THEN {way('cut + 1', 'R', to)} ELSE {far} END"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    rows = [
+        least(way(2, "D", 0), kept("s", 1), kept("u", 2), changed(2)), least(way(2, "D", 1), kept("u", 2), changed(2)),
+        least(way(2, "D", 2), kept("a", 3), changed(3)), least(way(2, "D", 3), kept("u", 2), changed(2)),
+    ]
+    added = ", ".join(f"{least(f'x{s}', way(5, 'I', to))} AS x{s}" for s, to in enumerate((2, 2, 3, 2)))
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), keyed AS (
+  SELECT *, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS k FROM conversations
+), coded AS (
+  SELECT keyed.*, xor(list_reduce(list_concat([4294967295], list_transform(k, lambda c: ord(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+         role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS earlier FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed
+), line AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS goes, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cut FROM judged
+), walk AS (
+  SELECT conv_id, n AS pos, {{'c': 0::BIGINT, 'l': ''}} AS x0, {{'c': 10::BIGINT, 'l': 'II'}} AS x1, {{'c': 5::BIGINT, 'l': 'I'}} AS x2, {{'c': 0::BIGINT, 'l': ''}} AS x3
+  FROM line WHERE pos = n
+  UNION ALL
+  SELECT conv_id, pos - 1, {added}
+  FROM (SELECT conv_id, pos, {added} FROM (SELECT conv_id, walk.pos, {", ".join(f"{r} AS x{s}" for s, r in enumerate(rows))} FROM walk JOIN line USING (conv_id, pos)))
+), done AS (
+  SELECT conv_id, x0.c AS cost, x0.l AS audit FROM walk WHERE pos = 0
+), letter AS (
+  SELECT conv_id, j, audit[j] AS x, length(replace(audit[:j], 'I', '')) AS pos, length(replace(audit[:j], 'D', '')) AS nth, length(replace(audit, 'D', '')) % 2 AS head
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS j FROM done)
+), fixed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN role WHEN (nth - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE x WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h
+  FROM letter LEFT JOIN line USING (conv_id, pos) WHERE x <> 'D' GROUP BY 1
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM line GROUP BY 1
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counted USING (conv_id) LEFT JOIN done USING (conv_id) LEFT JOIN fixed USING (conv_id)
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def _(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.summary(repair.find_repairs(repair.damage(turns))).withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.struct("conv_id") == F.struct("_conv"), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    )
