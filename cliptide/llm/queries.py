@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.llm import chat, decontaminate, language, licenses, line_dedup, near_dup, neighbours, pieces, repair, suffix_dedup, toxicity, warc
+from cliptide.llm import chat, decontaminate, divergence, language, licenses, line_dedup, near_dup, neighbours, pieces, repair, suffix_dedup, toxicity, warc
 from cliptide.llm.common import held_out, table
 from cliptide.llm.registry import query
 
@@ -259,6 +259,41 @@ def _(spark, sf):
     return chat.read(chat.format_turns(turns.unionByName(added)))
 
 
+DIVERGENCE_SQL = f"""
+WITH doc AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), lot AS (
+  SELECT DISTINCT lang, source FROM doc
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM doc) GROUP BY 1, 2 HAVING count(*) >= 30
+), counted AS (
+  SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(w) AS term FROM doc) JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), cell AS (
+  SELECT lot.lang, lot.source, kept.term, coalesce(c, 0) AS c, count(*) OVER g AS v, sum(coalesce(c, 0)) OVER g AS n,
+         sum(coalesce(c, 0)) OVER (PARTITION BY lot.lang, kept.term) AS lc, sum(coalesce(c, 0)) OVER (PARTITION BY lot.lang) AS ln
+  FROM lot JOIN kept USING (lang) LEFT JOIN counted ON counted.lang = lot.lang AND counted.source = lot.source AND counted.term = kept.term
+  WINDOW g AS (PARTITION BY lot.lang, lot.source)
+), share AS (
+  SELECT lang, source, term, c, 1 + (1000000000 * (c + 5)) // (n + 5 * v) AS p, 1 + (1000000000 * (lc + 5)) // (ln + 5 * v) AS q FROM cell
+), pair AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM share x JOIN share y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3
+), every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM lot x JOIN lot y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM share WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def _(spark, sf):
+    return divergence.audit(table(spark, sf, "documents").select("lang", "source", "text"))
+
+
 def _repair_sql() -> str:
     """Costs to go and letters for the states start (0), system (1), user (2) and assistant (3), row by row
     from the end; the letters that are least are kept with the least cost."""
