@@ -50,7 +50,7 @@ class Template:
 
     def __post_init__(self):
         for control in self.controls:
-            unclear = any(other[0] in control[1:] or (other != control and other.startswith(control)) for other in self.controls)
+            unclear = any(other[:1] in control[1:] or (other != control and other.startswith(control)) for other in self.controls)
             if unclear or not re.fullmatch(r"[^\w\s\\][^\s\\]+", control):
                 raise ValueError(f"{control!r} cannot be escaped: it needs a first mark that no control string holds further on")
 
