@@ -30,6 +30,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: work tables need a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cliptide-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
@@ -39,3 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for one written table."""
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a work table below the shared folder once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
