@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliptide.functions import arrays, transforms
-from cliptide.operators.exact import exact_median, small_table
+from cliptide.operators.exact import exact_median, settled, small_table
+from cliptide.operators.lookup import nearest_reference
 
 MAX_CLASSES = 1000
 
@@ -135,11 +136,13 @@ def posterior_weighted(models: Sequence[Column], truth: Column) -> Column:
 def nearest_median(df: DataFrame, label: str = "label", score: str = "score", name: str = "nearest") -> DataFrame:
     """Each score takes the label whose median is closer; the smaller label wins a tie.
 
-    The medians of the few classes become constants of the plan; too many labels are refused.
+    The medians of a few classes become constants of the plan; beyond ``MAX_CLASSES`` labels a score finds
+    its neighbours among the sorted medians.
     """
-    medians = exact_median(df.filter(F.col(label).isNotNull()), label, score, "_m").take(MAX_CLASSES + 1)
+    each = exact_median(df.filter(F.col(label).isNotNull()), label, score, "_m")
+    medians = each.take(MAX_CLASSES + 1)
     if len(medians) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} labels")
+        return nearest_reference(df, settled(each, "medians"), score, label, "_m", name)
     kind = df.schema[label].dataType
     nearest = F.least(
         *[F.struct(F.abs(F.lit(r["_m"]) - F.col(score)).alias("d"), F.lit(r[label]).cast(kind).alias("l")) for r in medians]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cliptide.functions import arrays, transforms
 from cliptide.operators.exact import names, running, settled
 from cliptide.operators.sequence import chunk_arrays, in_order
+from cliptide.operators.tiles import tiled_map, weight_cells
 
 # Fixed values of the front end.
 SAMPLE_RATE = 16_000
@@ -33,7 +34,7 @@ MAX_CELLS = 500_000
 def weight_table(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
     """(in_idx, out_idx, weight columns) of constant [in, out] matrices, without all-zero cells.
 
-    The table is broadcast, so matrices beyond ``MAX_CELLS`` are refused: use the array form.
+    The table is broadcast, so matrices beyond ``MAX_CELLS`` are refused: ``tiled_map`` takes them.
     """
     matrices = list(columns.values())
     if matrices[0].size > MAX_CELLS:
@@ -51,7 +52,9 @@ def _mapped(df: DataFrame, weights: DataFrame, by: Sequence[str], idx: str, valu
 
 def linear_map(df: DataFrame, matrix: np.ndarray, by: Sequence[str], idx: str, value: str, name: str = "value") -> DataFrame:
     """Σ value·weight per (by…, out_idx) for a constant [in, out] matrix: a broadcast join on
-    the input index whose sums are combined map-side."""
+    the input index whose sums are combined map-side; beyond ``MAX_CELLS`` a product of tiles."""
+    if matrix.size > MAX_CELLS:
+        return tiled_map(df, weight_cells(df.sparkSession, matrix), by, idx, value, name)
     grouped = _mapped(df, weight_table(df.sparkSession, w=matrix), by, idx, value)
     return grouped.agg(F.sum(F.col("_v") * F.col("w")).alias(name))
 
@@ -60,10 +63,17 @@ def dft_rows(df: DataFrame, length: int, nfft: int, by: Sequence[str], idx: str,
     """Framed transform as a join with the cosine and sine tables; (by…, bin, magnitude)."""
     phase = 2 * np.pi / nfft * np.outer(np.arange(length), np.arange(nfft // 2 + 1))
     taper = (transforms.hann(length) if windowed else np.ones(length))[:, None]
-    table = weight_table(df.sparkSession, re=taper * np.cos(phase), im=taper * np.sin(phase))
-    sums = _mapped(df, table, by, idx, value).agg(
-        F.sum(F.col("_v") * F.col("re")).alias("_re"), F.sum(F.col("_v") * F.col("im")).alias("_im")
-    )
+    real, imaginary, bins = taper * np.cos(phase), taper * np.sin(phase), nfft // 2 + 1
+    if real.size > MAX_CELLS:
+        both = linear_map(df, np.hstack([real, imaginary]), by, idx, value, "_s")
+        part = lambda at: F.coalesce(F.sum(F.when(at, F.col("_s"))), F.lit(0.0))
+        sums = both.groupBy(*by, (F.col("out_idx") % bins).alias("out_idx")).agg(
+            part(F.col("out_idx") < bins).alias("_re"), part(F.col("out_idx") >= bins).alias("_im")
+        )
+    else:
+        sums = _mapped(df, weight_table(df.sparkSession, re=real, im=imaginary), by, idx, value).agg(
+            F.sum(F.col("_v") * F.col("re")).alias("_re"), F.sum(F.col("_v") * F.col("im")).alias("_im")
+        )
     magnitude = F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"))
     return sums.select(*by, F.col("out_idx").alias("bin"), magnitude.alias("magnitude"))
 

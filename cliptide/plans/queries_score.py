@@ -103,6 +103,21 @@ def _(spark, sf):
     return score.nearest_median(b.members(spark, sf), "label", "m0").select("clip_id", "nearest")
 
 
+@query(
+    "j8_many_labels",
+    """WITH med AS (SELECT l_orderkey AS l, median(l_extendedprice) AS m FROM lineitem GROUP BY 1),
+    ref AS (SELECT m, min(l) AS l FROM med GROUP BY m),
+    near AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS x, lo.l AS ll, lo.m AS lm, hi.l AS hl, hi.m AS hm
+      FROM lineitem ASOF LEFT JOIN ref lo ON l_extendedprice >= lo.m ASOF LEFT JOIN ref hi ON l_extendedprice <= hi.m)
+    SELECT l_orderkey, l_linenumber, CASE WHEN ll IS NULL THEN hl WHEN hl IS NULL THEN ll WHEN x - lm < hm - x THEN ll
+      WHEN x - lm > hm - x THEN hl ELSE least(ll, hl) END AS nearest FROM near""",
+)
+def _(spark, sf):
+    """Every order is a label of its own: each line finds the order whose median price is nearest."""
+    lines = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return score.nearest_median(lines, "l_orderkey", "l_extendedprice").drop("l_extendedprice")
+
+
 @query("a9_median_per_label", f"WITH {b.MEM} SELECT label, round(median(m0), 6) AS median FROM mem GROUP BY label")
 def _(spark, sf):
     return evaluate.median_per_label(b.members(spark, sf), "label", "m0").withColumn("median", F.round("median", 6))

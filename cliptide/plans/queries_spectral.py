@@ -144,6 +144,20 @@ def _(spark, sf):
     return mapped.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "j6_tiled_map",
+    """WITH lines AS (SELECT l_suppkey, l_orderkey % 4096 AS i, l_quantity AS v FROM lineitem WHERE l_linenumber = 1)
+    SELECT l_suppkey, CAST(o.o AS INTEGER) AS out_idx, round(sum(v * ((i * 31 + o.o * 17) % 101 - 50) / 50), 6) + 0.0::DOUBLE AS value
+    FROM lines, range(1024) o(o) WHERE (i * 31 + o.o * 17) % 101 <> 50 GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """4,096 inputs and 1,024 outputs: the first line of every order, by supplier."""
+    matrix = ((np.arange(4096)[:, None] * 31 + np.arange(1024)[None, :] * 17) % 101 - 50) / 50
+    lines = b.table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_suppkey", (F.col("l_orderkey") % 4096).alias("i"), F.col("l_quantity").alias("v"))
+    mapped = spectral.linear_map(lines, matrix, ["l_suppkey"], "i", "v")
+    return mapped.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 @query(
     "w11_segment_shares",
     f"WITH {SHARE} SELECT clip_id, chunk_idx, CAST(seg AS BIGINT) AS seg, round(share, 6) AS share FROM shares",
