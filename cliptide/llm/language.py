@@ -19,7 +19,7 @@ from cliptide.llm.common import Sent, append_struct, free_name, held_out, plain_
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_MARK = re.compile(r"[^\W\d_]")
 _LETTERS_ONLY = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -41,44 +41,55 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashed, before[np.minimum(starts, len(used))]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L is there; fractions and circled numbers are none."""
+    return any(mark.group().isalpha() for mark in _WORD_MARK.finditer(text))
+
+
 @dataclass
 class LanguageModel:
-    """``log_p[l, g]``: smoothed log probability of trigram bucket ``g`` in language ``l``."""
+    """``log_p[l, g]``: smoothed log probability of trigram bucket ``g`` in language ``l``; 256 KB a language."""
 
     names: list[str]
     log_p: np.ndarray
 
 
 def train(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_languages: int = 200, smoothing: float = 0.5
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_languages: int | None = None, smoothing: float = 0.5
 ) -> LanguageModel:
     """Count trigrams per language over all rows with a language that are not held out.
 
-    Should there be more than ``max_languages`` values, the most frequent are learned (ties: in
-    order of name). What reaches the driver is at most ``max_languages * BUCKETS`` counts.
+    Every language is learned, unless ``max_languages`` is given: then the most frequent ones are (ties: in
+    order of name). What reaches the driver is one count per language and trigram bucket that occurs.
+    Rows with a null language or text, or held out, teach nothing; repeated rows count each; an empty
+    table, or one without a usable row, gives a model without languages. Other columns are ignored.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id))).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    names = sorted(r.lang for r in top)
+    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    names = sorted(r.lang for r in (top if max_languages is None else top.limit(max_languages)).collect())
     place = {name: i for i, name in enumerate(names)}
 
     def count(batches):
         import pyarrow as pa
 
-        totals = np.zeros((len(names), BUCKETS), np.int64)
+        # Counts of a few languages are added up in the task, those of many slice by slice.
+        totals = np.zeros(len(names) * BUCKETS if len(names) <= 64 else 0, np.int64)
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
                 found, bounds = grams(plain_bytes(part.column(1)))
                 row = np.repeat([place.get(x, -1) for x in part.column(0).to_pylist()], np.diff(bounds))
                 known = row >= 0
-                if known.any():
-                    flat = row[known].astype(np.int64) * BUCKETS + found[known]
-                    totals += np.bincount(flat, minlength=totals.size).reshape(totals.shape)
+                flat = row[known].astype(np.int64) * BUCKETS + found[known]
+                if len(totals):
+                    totals += np.bincount(flat, minlength=len(totals))
+                else:
+                    at, n = np.unique(flat, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["cell", "n"])
         at = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals.ravel()[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["cell", "n"])
 
     counts = np.zeros((len(names), BUCKETS))
     if names:
@@ -151,7 +162,7 @@ def identify(
             shares = mixtures(p, limits, steps)
             for i in range(last - first):
                 value, (a, b) = values[first + i], limits[i : i + 2]
-                if value and a < b and _LETTER.search(value.decode("utf-8", "replace")):
+                if value and a < b and has_letter(value.decode("utf-8", "replace")):
                     chosen[first + i] = _choose(names, own[:, a:b], p[:, a:b], shares[:, i])
             first = last
         return list(zip(*chosen))

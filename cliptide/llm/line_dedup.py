@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cliptide.llm.common import ASCII_SPACE, ascii_lower, free_name, unique
 from cliptide.operators.exact import settled
-from cliptide.session import scratch_path
+from cliptide.session import remove, scratch_path
 
 KEY = ["h1", "h2"]
 
@@ -29,15 +29,17 @@ class LineRuns:
     spark: SparkSession
     fan_in: int = 2
     levels: list[list[str]] = field(default_factory=list)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, entries: DataFrame, level: int) -> None:
         name = unique("line_run")
+        self.paths[name] = scratch_path(self.spark, name)
         (
             entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-            .option("path", scratch_path(self.spark, name)).format("parquet").saveAsTable(name)
+            .option("path", self.paths[name]).format("parquet").saveAsTable(name)
         )
         while len(self.levels) <= level:
             self.levels.append([])
@@ -77,9 +79,12 @@ class LineRuns:
     def _drop(self, runs: list[str]) -> None:
         for name in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
 
     def close(self) -> None:
-        self._drop(self.runs())
+        """Drop all runs, those too that a failure has left between two levels."""
+        self._drop(list(self.paths))
+        self.levels = []
 
 
 def line_keys(text: Column) -> Column:
@@ -127,18 +132,20 @@ def dedup_lines(
     )
     cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)])).first()[0] or []
     runs = LineRuns(spark, fan_in)
-    upper = None
-    for low in [*dict.fromkeys(cuts), None]:
-        batch = lines
-        if low is not None:
-            batch = batch.filter(F.col("doc_id") > low)
-        if upper is not None:
-            below = F.col("doc_id") <= upper
-            batch = batch.filter(below if low is not None else below | F.col("doc_id").isNull())
-        runs.add(batch)
-        upper = low
-    common = settled(runs.merged().filter(F.col("n") >= min_docs), "common_lines")
-    runs.close()
+    try:
+        upper = None
+        for low in [*dict.fromkeys(cuts), None]:
+            batch = lines
+            if low is not None:
+                batch = batch.filter(F.col("doc_id") > low)
+            if upper is not None:
+                below = F.col("doc_id") <= upper
+                batch = batch.filter(below if low is not None else below | F.col("doc_id").isNull())
+            runs.add(batch)
+            upper = low
+        common = settled(runs.merged().filter(F.col("n") >= min_docs), "common_lines")
+    finally:
+        runs.close()
     lost = (
         lines.join(common.select(*KEY, "holder"), KEY)
         .filter(~F.col("doc_id").eqNullSafe(F.col("holder")))

@@ -82,3 +82,68 @@ def test_texts_are_kept_apart():
     together, bounds = language.grams(texts)
     for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
         assert together[a:b].tolist() == language.grams([text])[0].tolist()
+
+
+def test_every_language_is_learned(spark):
+    """300 languages, each with words of its own: all are learned and told apart."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzßéèàùñøåöüçğışžčřłóąęαβγδεζηθικλμνξοπρστυφχψω"
+    words = {f"l{i:03}": ["".join(rng.choices(letters, k=6)) for _ in range(12)] for i in range(300)}
+    rows = [(i, " ".join(rng.choices(words[name], k=40)), name) for i, name in enumerate(sorted(words) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.names == sorted(words)
+    found = language.identify(df, model).filter(held_out(F.col("doc_id"))).collect()
+    assert len(found) > 200 and np.mean([r.lang == r.language.lang_pred for r in found]) > 0.99
+
+
+def test_numerals_are_no_letters(spark, model):
+    rows = [("½",), ("² ³",), ("①",), ("Ⅷ 12",), ("٣",), ("ª",), ("a½",), ("日本",), ("ⅷ",)]
+    found = language.identify(spark.createDataFrame(rows, "text string"), model).collect()
+    assert {r.text: r.language.lang_pred != "und" for r in found} == {t: any(c.isalpha() for c in t) for t, in rows}
+
+
+def plain_grams(text):
+    """Trigrams of letters by plain string work, as byte triples."""
+    body = text.lower().encode()
+    body = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in body)
+    body = b"  " + body + b"  "
+    return [body[i : i + 3] for i in range(len(body) - 2) if b"  " not in (body[i : i + 2], body[i + 1 : i + 3])]
+
+
+def test_mixture_same_as_plain(spark):
+    """Plain EM with every subset of languages: the chosen set, its shares and the score."""
+    import itertools
+    import math
+
+    teach = [(0, "the cat sat on the mat and the dog", "en"), (1, "der hund und die katze auf der matte", "de"), (3, "el perro y el gato en la casa", "es")]
+    df = spark.createDataFrame([(10 * i + d, t, lang) for i in range(6) for d, t, lang in teach], "doc_id long, text string, lang string")
+    usable = [r for r in df.withColumn("out", held_out(F.col("doc_id"))).collect() if not r.out]
+    model = language.train(df)
+    bucket = lambda g: (int.from_bytes(g, "big") * 2654435761 % 2**32) >> 16
+    counts = {lang: {} for lang in model.names}
+    for r in usable:
+        for g in plain_grams(r.text):
+            counts[r.lang][bucket(g)] = counts[r.lang].get(bucket(g), 0) + 1
+    p = lambda lang, g: (counts[lang].get(bucket(g), 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * 65536)
+
+    def em(langs, found):
+        share = [1 / len(langs)] * len(langs)
+        for _ in range(500):
+            new = [0.0] * len(langs)
+            for g in found:
+                drawn = [s * p(lang, g) for s, lang in zip(share, langs)]
+                new = [n + d / sum(drawn) for n, d in zip(new, drawn)]
+            share = [n / len(found) for n in new]
+        return share, sum(math.log(sum(s * p(lang, g) for s, lang in zip(share, langs))) for g in found)
+
+    texts = ["the dog sat on the mat", "der hund und die katze", "the cat and the dog sat on the mat der hund und die katze auf der matte", "el perro y la casa"]
+    made = {r.text: r.language for r in language.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model, more_steps=500).collect()}
+    for text in texts:
+        found = plain_grams(text)
+        cost = 4.0 * math.log(len(found) + 1)
+        best = max(((em(c, found)[1] - cost * (k - 1), c) for k in (1, 2, 3) for c in itertools.combinations(model.names, k)), key=lambda x: x[0])[1]
+        assert set(made[text].langs) == set(best)
+        share = dict(zip(best, em(best, found)[0]))
+        assert all(abs(share[lang] - s) < 0.01 for lang, s in zip(made[text].langs, made[text].shares))
+        assert made[text].lang_pred == max(share, key=share.get)

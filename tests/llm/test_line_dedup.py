@@ -56,3 +56,16 @@ def test_runs_on_the_main_path_are_not_shuffled_again(spark):
     plan = spark.table(runs.runs()[0]).groupBy("h1", "h2").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     runs.close()
+
+
+def test_runs_leave_no_files(spark):
+    import os
+
+    from cliptide.session import checkpoint_dir
+
+    folder = os.path.join(checkpoint_dir(spark), "tables")
+    held = lambda: {f for f in (os.listdir(folder) if os.path.isdir(folder) else []) if f.startswith("line_run")}
+    before = held()
+    rows = [(i, "a line that many share\nown line number %d here" % i) for i in range(60)]
+    dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert held() == before and not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
