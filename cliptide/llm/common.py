@@ -44,12 +44,12 @@ def plain_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def append_struct(docs: DataFrame, column: str, out: str, fields: str, make, read=plain_bytes) -> DataFrame:
+def append_struct(docs: DataFrame, column: str, out: str, fields: str, make, read=plain_bytes, limit: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``out`` of ``fields``, computed from one column.
 
     ``make(values)`` gets a list of texts as UTF-8 bytes (or None), or whatever ``read`` makes of
     the Arrow column, and returns one list, numpy or Arrow array per field. It is called for slices
-    of a batch of about ``SLICE`` bytes, so that memory does not depend on how many long texts meet
+    of a batch of about ``limit`` bytes (``SLICE`` by default), so that memory does not depend on how many long texts meet
     in a batch.
     """
     from pyspark.sql import types as T
@@ -65,7 +65,7 @@ def append_struct(docs: DataFrame, column: str, out: str, fields: str, make, rea
 
         types = [to_arrow_type(f.dataType) for f in kind.fields]
         for batch in batches:
-            for start, stop in slices(batch.column(place)):
+            for start, stop in slices(batch.column(place), limit or SLICE):
                 part = batch.slice(start, stop - start)
                 made = make(read(part.column(place)))
                 arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types)]

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from cliptide.llm.common import Sent, append_struct, free_name, held_out, plain_bytes, slices
 
 BUCKETS = 1 << 16
+#: Bytes of text in a slice, and of one array of probabilities: what stays in a core's cache.
+SLICE, ROUND = 1 << 20, 1 << 21
 UNKNOWN = "und"
 _WORD_MARK = re.compile(r"[^\W\d_]")
 _LETTERS_ONLY = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -77,7 +79,7 @@ def train(
         # Counts of a few languages are added up in the task, those of many slice by slice.
         totals = np.zeros(len(names) * BUCKETS if len(names) <= 64 else 0, np.int64)
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), SLICE):
                 part = batch.slice(start, stop - start)
                 found, bounds = grams(plain_bytes(part.column(1)))
                 row = np.repeat([place.get(x, -1) for x in part.column(0).to_pylist()], np.diff(bounds))
@@ -153,7 +155,7 @@ def identify(
         chosen: list[tuple] = [(UNKNOWN, 0.0, [], [])] * len(values)
         if not names:
             return list(zip(*chosen))
-        per_round = max(1, (16 << 20) // (4 * len(names)))
+        per_round = max(1, ROUND // (4 * len(names)))
         first = 0
         while first < len(values):
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + per_round, "right")) - 1)
@@ -184,4 +186,4 @@ def identify(
         return names[picked[0]], min(1.0, score), [names[i] for i in picked], parts
 
     fields = "lang_pred string, score double, langs array<string>, shares array<double>"
-    return append_struct(docs, text, free_name(docs, out), fields, lambda v: predict(v) if v else [[], [], [], []])
+    return append_struct(docs, text, free_name(docs, out), fields, lambda v: predict(v) if v else [[], [], [], []], limit=SLICE)
