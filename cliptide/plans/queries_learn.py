@@ -19,6 +19,23 @@ def _(spark, sf):
     return learn.fold_metrics(_labelled(spark, sf), 4)
 
 
+@query("m6_radial_folds")
+def _(spark, sf):
+    """Radial kernel by landmarks, fitted on each fold's training rows; gamma is 1 / width."""
+    return learn.fold_metrics(_labelled(spark, sf), 4, learn.linear_classifier(scaled=False), prepare=learn.radial_preparation("embedding", "vec_id"))
+
+
+@query(
+    "m6_fold_counts",
+    """WITH ranked AS (SELECT label % 2 AS label, row_number() OVER (ORDER BY md5(concat('42:', CAST(vec_id AS VARCHAR))), vec_id) - 1 AS r FROM embeddings)
+    SELECT CAST(r % 4 AS INTEGER) AS fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS positive FROM ranked GROUP BY 1""",
+)
+def _(spark, sf):
+    """Every row is predicted once, in the fold that the seeded hash order gives it."""
+    out = learn.fold_predictions(_labelled(spark, sf), 4, keep=["vec_id"])
+    return out.groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count_distinct("vec_id").alias("n"), F.sum("y_true").alias("positive"))
+
+
 def _sequences(spark, sf):
     whole = sequence.sequences(b.numbered(spark, sf, 10), "seq_id", keep=["label"])
     padded = sequence.pad_sequences(whole, 64, 10).withColumn("label", (F.col("label") % 2).cast("double"))

@@ -7,7 +7,6 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
-SLOW = {"m6_fold_metrics", "m7_pooled_classifier", "m8_parameter_search"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def test_agrees_with_sql(spark, con, name):
     assert compare(spark, con, SF, QUERIES[name], CHECKS[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
