@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.operators import learn, sample, sequence
+from cliptide.operators import learn, neighbourhoods, sample, sequence
 from cliptide.plans import bindings as b
 from cliptide.plans.registry import query
 
@@ -56,3 +56,10 @@ def _(spark, sf):
 def _(spark, sf):
     whole = sequence.sequences(b.numbered(spark, sf), "seq_id", keep=["label"])
     return learn.projection(sequence.label_frames(whole), "embedding", 2, ["seq_id", "frame", "label"])
+
+
+@query("m9_neighbour_map")
+def _(spark, sf):
+    """Coordinates of all vectors by their neighbourhoods."""
+    rows = b.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return rows.select("vec_id", "label").join(neighbourhoods.neighbour_map(rows, "vec_id", "embedding"), "vec_id")
