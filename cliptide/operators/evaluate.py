@@ -256,6 +256,36 @@ def density(df: DataFrame, by: str | Sequence[str], value: str, points: int = 50
     return attach(sums, shape, by).select(*by, "point", at(F.col("point")).alias("x"), (F.col("_s") / scale).alias("density"))
 
 
+def binned_density(
+    df: DataFrame, by: str | Sequence[str], value: str, points: int = 50, cut: float = 3.0, bandwidth: float | None = None, cells: int = 2001
+) -> DataFrame:
+    """``density`` from counts on a fine grid: every value is shared between the two of ``cells`` grid places beside it,
+    in proportion to its nearness, and only these places meet the output points.
+
+    Its cost over rows is one sum by group and cell, before any shuffle. With ``s`` the distance of two cells and ``h`` the
+    bandwidth, the result is within 0.05 * (s / h)^2 / h of the exact density. Null values are left out, as are
+    groups without spread; an empty table gives no rows.
+    """
+    by = names(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    scott = F.stddev_samp("_x") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))
+    width = F.lit(float(bandwidth)) if bandwidth else scott
+    shape = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), width.alias("_h"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).filter("_h > 0")
+    shape = shape.select(*by, "_n", "_h", (F.col("_lo") - F.col("_h") * cut).alias("_from"), (F.col("_hi") - F.col("_lo") + F.col("_h") * (2 * cut)).alias("_span"))
+    place = (F.col("_x") - F.col("_from")) / F.col("_span") * (cells - 1)
+    placed = attach(rows, shape, by).withColumn("_at", place).withColumn("_cell", F.least(F.floor("_at"), F.lit(cells - 2)).cast("int"))
+    group = [*by, "_n", "_h", "_from", "_span"]
+    right = F.col("_at") - F.col("_cell")
+    shared = placed.groupBy(*group, "_cell").agg(F.sum(1 - right).alias("_l"), F.sum(right).alias("_r"))
+    sides = F.array(F.struct(F.col("_cell").alias("c"), F.col("_l").alias("w")), F.struct((F.col("_cell") + 1).alias("c"), F.col("_r").alias("w")))
+    weights = shared.select(*group, F.explode(sides).alias("_s")).groupBy(*group, F.col("_s.c").alias("_cell")).agg(F.sum("_s.w").alias("_w"))
+    met = weights.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("_from") + F.col("_span") * F.col("point") / (points - 1)
+    u = (F.col("_cell") / (cells - 1) - F.col("point") / (points - 1)) * F.col("_span") / F.col("_h")
+    sums = met.groupBy(*group, "point").agg(F.sum(F.col("_w") * F.exp(-u * u / 2)).alias("_s"))
+    return sums.select(*by, "point", x.alias("x"), (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit((2 * np.pi) ** 0.5))).alias("density"))
+
+
 def kernel_sums(scaled: DataFrame, by: Sequence[str], points: int) -> DataFrame:
     """(by…, point, _s): partial sums of ``_c``·exp(-(u - du·point)²/2) per batch of rows."""
 

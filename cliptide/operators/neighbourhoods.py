@@ -19,6 +19,8 @@ from cliptide.operators.exact import bucketed_rank, settled
 BLOCK = 256
 #: Cells of a projection's range and hash parts of a cell: what the order of a pass is bucketed by.
 CELLS, PARTS = 4096, 16
+#: A matrix of so few entries (17 bytes each) is broadcast; a larger one meets the vectors by shuffle.
+SMALL_EDGES = 200_000
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,6 +237,8 @@ def leading_vectors(
         raise ValueError("a map needs at least two rows")
     loops = degrees.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
     edges = settled(edges.withColumn("own", F.lit(False)).unionByName(loops.withColumn("own", F.lit(True))), "map_matrix")
+    if edges.count() <= SMALL_EDGES:
+        edges = F.broadcast(edges)
     draw = lambda i: F.xxhash64(F.lit(seed + i), "id") / F.lit(2.0**63)
     state = degrees.select("id", F.sqrt(F.col("degree") / float(total)).alias("t"), *[draw(i).alias(y) for i, y in enumerate(_columns("y", m))])
     for _ in range(passes):
@@ -263,13 +267,13 @@ def leading_vectors(
     return ritz.select("id", *[(F.col(f"y{j}") * s).alias(f"y{j}") for j, s in enumerate(signs)]), [float(x) for x in value[:wanted]]
 
 
-def neighbour_map(df: DataFrame, key: str, values: str, dims: int = 2, k: int = 10, seed: int = 42, **descent: int) -> DataFrame:
+def neighbour_map(df: DataFrame, key: str, values: str, dims: int = 2, k: int = 10, tolerance: float = 1e-4, seed: int = 42, **descent: int) -> DataFrame:
     """(key, axis1…): coordinates in which neighbouring rows lie close together (Laplacian eigenmap).
 
     The leading eigenvectors of the normalised adjacency of ``neighbour_graph``, without the constant one, divided
-    by the root of the degree. Rows that take no part in the graph are left out.
+    by the root of the degree; ``tolerance`` is the residual they may have. Rows that take no part in the graph are left out.
     """
     edges, degrees = normalised_adjacency(neighbour_graph(df, key, values, k, seed=seed, **descent))
-    vectors, found = leading_vectors(edges, degrees, dims, seed=seed)
+    vectors, found = leading_vectors(edges, degrees, dims, tolerance=tolerance, seed=seed)
     axis = lambda j: (F.col(f"y{j}") / F.sqrt("degree")).alias(f"axis{j + 1}")
     return vectors.join(degrees, "id").select(F.col("id").alias(key), *[axis(j) for j in range(len(found))])

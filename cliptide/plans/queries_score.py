@@ -306,6 +306,23 @@ def _(spark, sf):
     return rounded(evaluate.density(b.table(spark, sf, "events"), "event_type", "value"), ["x", "density"])
 
 
+@query(
+    "a15_binned_density",
+    """WITH m AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS lo, max(value) AS hi
+      FROM events GROUP BY 1),
+    g AS (SELECT event_type, n, h, lo - 3 * h AS base, hi - lo + 6 * h AS span FROM m WHERE h > 0),
+    placed AS (SELECT event_type, (value - base) / span * 2000 AS pos FROM events JOIN g USING (event_type) WHERE value IS NOT NULL),
+    cell AS (SELECT event_type, CAST(least(floor(pos), 1999) AS INTEGER) AS c, pos FROM placed),
+    side AS (SELECT event_type, c, sum(1 - (pos - c)) AS w FROM cell GROUP BY 1, 2
+      UNION ALL SELECT event_type, c + 1, sum(pos - c) FROM cell GROUP BY 1, 2)
+    SELECT event_type, CAST(p.p AS INTEGER) AS point, round(any_value(base + span / 49 * p.p), 6) AS x,
+      round(sum(w * exp(-pow((c / 2000.0 - p.p / 49.0) * span / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density
+    FROM side JOIN g USING (event_type), range(50) p(p) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return rounded(evaluate.binned_density(b.table(spark, sf, "events"), "event_type", "value"), ["x", "density"])
+
+
 # --- batch model jobs with small stand-in models -------------------------------------------
 
 

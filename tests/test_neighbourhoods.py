@@ -59,7 +59,7 @@ def test_map_same_as_dense_numpy(spark, monkeypatch):
     np.testing.assert_allclose(got * np.sign((got * want).sum(axis=0)), want, atol=1e-6)
     assert (got[np.abs(got).argmax(axis=0), range(3)] > 0).all()
     monkeypatch.setattr(nb, "neighbour_graph", lambda *a, **b: graph)
-    at = {r.key: r.axis1 for r in nb.neighbour_map(df, "key", "v", 1).collect()}
+    at = {r.key: r.axis1 for r in nb.neighbour_map(df, "key", "v", 1, tolerance=1e-8).collect()}
     np.testing.assert_allclose([at[i] for i in range(500)], got[:, 0] / np.sqrt(degree), atol=1e-5)
 
 
@@ -67,7 +67,7 @@ def test_groups_apart_lie_apart(spark):
     """Two components: the first axis is constant in each and differs between them."""
     draw = np.random.default_rng(5)
     x = np.concatenate([draw.normal(0, 1, (40, 3)), draw.normal(100, 1, (60, 3))])
-    at = {r.key: r.axis1 for r in nb.neighbour_map(_table(spark, x), "key", "v", 1, k=6).collect()}
+    at = {r.key: r.axis1 for r in nb.neighbour_map(_table(spark, x), "key", "v", 1, k=6, tolerance=1e-9).collect()}
     first, second = np.array([at[i] for i in range(40)]), np.array([at[i] for i in range(40, 100)])
     assert np.ptp(first) < 1e-6 and np.ptp(second) < 1e-6 and abs(first.mean() - second.mean()) > 1e-3
 
