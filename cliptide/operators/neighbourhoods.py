@@ -24,14 +24,15 @@ SMALL_EDGES = 200_000
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, squared distance) of every row's ``k`` nearest others; ties to the earlier row."""
+    """(row, other row, squared distance) of every row's ``k`` nearest others; ties to the rows that follow it, in a
+    circle, so that equal rows do not all point to the same few."""
     take = min(k, len(x) - 1)
     rows, others, far = [], [], []
     for i in range(len(x) if take > 0 else 0):
         d = ((x - x[i]) ** 2).sum(axis=1)
         kept = d.copy()
         kept[i] = np.inf
-        order = np.argsort(kept, kind="stable")[:take]
+        order = np.lexsort(((np.arange(len(x)) - i) % len(x), kept))[:take]
         rows.append(np.full(take, i))
         others.append(order)
         far.append(d[order])
@@ -41,10 +42,10 @@ def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _closest(edges: DataFrame, k: int, by: str = "src") -> DataFrame:
-    """The ``k`` shortest edges per ``by``, ties to the smaller other end. Spark limits each group before it
-    shuffles, so that a node that many others point to does not bring all of them into one task."""
-    other = "dst" if by == "src" else "src"
-    order = Window.partitionBy(by).orderBy("d2", other)
+    """The ``k`` shortest edges per ``by``, ties by a hash of both ends: copies spread their edges, none becomes the
+    hub of all. Spark limits each group before it shuffles, so that a node that many others point to does not
+    bring all of them into one task."""
+    order = Window.partitionBy(by).orderBy("d2", F.xxhash64("src", "dst"), "src", "dst")
     return edges.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
 
@@ -126,7 +127,7 @@ def neighbour_graph(df: DataFrame, key: str, values: str, k: int = 10, passes: i
 
     Approximate beyond ``BLOCK`` rows. ``key`` identifies a row. Rows without a key, with a null or empty vector or
     one that holds null or non-finite values take no part; all others must be of one length. Equal vectors are
-    neighbours at distance 0, and ties go to the smaller key. Fewer than two rows give no edge.
+    neighbours at distance 0; of equally near rows a hash of both keys decides. Fewer than two rows give no edge.
     """
     v = F.col(values).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
