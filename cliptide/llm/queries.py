@@ -117,17 +117,18 @@ def _containment_sql() -> str:
     words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 WITH template AS (
-  SELECT license, {words.format(SQL_LOWER.format('body'))} AS w FROM (VALUES {notices}) t(license, body)
+  SELECT *, least(len(w), 5) AS k FROM (SELECT license, {words.format(SQL_LOWER.format('body'))} AS w FROM (VALUES {notices}) t(license, body))
 ), own AS (
-  SELECT DISTINCT license, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM template)
+  SELECT DISTINCT license, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM template)
 ), sized AS (
   SELECT license, count(*) AS n FROM own GROUP BY 1
 ), doc AS (
   SELECT doc_id, {words.format(SQL_LOWER.format("coalesce(text, '')"))} AS w FROM documents
 ), shingle AS (
-  SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM doc)
+  SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM template))
 ), hit AS (
-  SELECT doc_id, license, count(DISTINCT s) AS c, min(pos) AS first_word FROM shingle JOIN own USING (s) GROUP BY 1, 2
+  SELECT doc_id, license, count(DISTINCT s) AS c, min(pos) AS first_word FROM shingle JOIN own USING (s, k) GROUP BY 1, 2
 )
 SELECT doc_id, license, c / n AS containment, first_word FROM hit JOIN sized USING (license) WHERE c >= 0.8 * n
 """
@@ -135,7 +136,7 @@ SELECT doc_id, license, c / n AS containment, first_word FROM hit JOIN sized USI
 
 @query("op7_license_scan", _containment_sql())
 def _(spark, sf):
-    return licenses.scan(table(spark, sf, "documents")).drop("n_windows")
+    return licenses.scan(table(spark, sf, "documents"))
 
 
 REPEAT_SQL = """
