@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliptide.operators import learn, neighbourhoods, sample, sequence
+from cliptide.operators import codebook, learn, neighbourhoods, sample, sequence
 from cliptide.plans import bindings as b
 from cliptide.plans.registry import query
 
@@ -47,6 +47,53 @@ def _(spark, sf):
     return learn.fold_predictions(_sequences(spark, sf), 4, learn.pooled_classifier(), keep=["seq_id"])
 
 
+@query("m7_residual_classifier")
+def _(spark, sf):
+    """Sequences pooled against a codebook that is learned in each fold's training rows."""
+    whole = sequence.sequences(b.numbered(spark, sf, 10), "seq_id", keep=["label"]).withColumn("label", (F.col("label") % 2).cast("double"))
+    prepare = codebook.residual_preparation("seq_id", words=8, parts=2)
+    return learn.fold_predictions(sample.shuffled_folds(whole, "seq_id"), 4, learn.pooled_classifier(), keep=["seq_id"], prepare=prepare)
+
+
+def _nearest_sql(words: str, name: str) -> str:
+    """Each value's word: least squared distance, ties to the smaller word."""
+    return f"""{name} AS (
+  SELECT vec_id, arg_min(word, (d, word)) AS word FROM (
+    SELECT vec_id, word, sum((value - centre) * (value - centre)) AS d FROM value JOIN {words} USING (place) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "m7_residual_pooling",
+    f"""WITH {b.seq_sql(10)}, value AS (
+  SELECT vec_id, seq_id, unnest(range(len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS value FROM seq
+), first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY md5(concat('42:', CAST(vec_id AS VARCHAR))), vec_id) - 1 AS word FROM embeddings QUALIFY word < 8
+), began AS (
+  SELECT word, place, value AS centre FROM value JOIN first USING (vec_id)
+), {_nearest_sql("began", "near")}, moved AS (
+  SELECT word, place, avg(value) AS centre FROM value JOIN near USING (vec_id) GROUP BY 1, 2
+), book AS (
+  SELECT word, place, coalesce(moved.centre, began.centre) AS centre FROM began LEFT JOIN moved USING (word, place)
+), {_nearest_sql("book", "settled")}, pooled AS (
+  SELECT seq_id, word, place, sum(value - centre) AS s FROM value JOIN settled USING (vec_id) JOIN book USING (word, place) GROUP BY 1, 2, 3
+), sized AS (
+  SELECT seq_id, count(*) AS n FROM seq GROUP BY 1
+)
+SELECT seq_id, CAST(word AS INTEGER) AS word, CAST(place AS INTEGER) AS place, round(coalesce(s, 0) / n, 6) + 0.0 AS value
+FROM sized CROSS JOIN book LEFT JOIN pooled USING (seq_id, word, place)""",
+)
+def _(spark, sf):
+    """The pooled values of every sequence, against eight words after one round."""
+    rows = b.numbered(spark, sf, 10)
+    book = codebook.learn_codebook(rows, "embedding", "vec_id", words=8, rounds=1)
+    pooled = sequence.sequences(rows, "seq_id").select("seq_id", book.column(F.col("frames")).alias("v"))
+    at = pooled.select("seq_id", F.posexplode("v").alias("at", "value"))
+    return at.select(
+        "seq_id", F.floor(F.col("at") / book.width).cast("int").alias("word"), (F.col("at") % book.width).alias("place"),
+        (F.round("value", 6) + 0.0).alias("value"),
+    )
+
+
 @query("m8_parameter_search")
 def _(spark, sf):
     return learn.search_table(spark, learn.search(_labelled(spark, sf)))
