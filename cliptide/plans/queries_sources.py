@@ -148,6 +148,15 @@ def _(spark, sf):
     return sinks.materialised(spark, path, lambda: _features(spark, sf).limit(0))
 
 
+@query("s9_materialised_by_fingerprint", FEATURES)
+def _(spark, sf):
+    """Computed for other parameters first, then for these; the second request for these computes nothing."""
+    path, inputs = scratch_path(spark, "versions"), [b.table(spark, sf, "embeddings")]
+    sinks.materialised_for(spark, path, inputs, lambda: _features(spark, sf).limit(0), {"rows": 0})
+    sinks.materialised_for(spark, path, inputs, lambda: _features(spark, sf), {"rows": "all"})
+    return sinks.materialised_for(spark, path, inputs, lambda: _features(spark, sf).limit(0), {"rows": "all"})
+
+
 @query("s10_csv_sink", FEATURES)
 def _(spark, sf):
     path = scratch_path(spark, "results")
@@ -177,6 +186,21 @@ def _(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query(
+    "s12_append_batches",
+    """SELECT concat('labels-', CAST(label % 3 AS VARCHAR)) AS batch,
+    concat('clip-', CAST(vec_id AS VARCHAR), '_', CAST(label AS VARCHAR), ': ', CAST(vec_id % 7 AS VARCHAR)) AS line FROM embeddings""",
+)
+def _(spark, sf):
+    """Three batches of lines, the second of them appended twice."""
+    path = scratch_path(spark, "batches")
+    stem = F.concat(F.lit("clip-"), F.col("vec_id").cast("string"))
+    lines = b.table(spark, sf, "embeddings").withColumn("line", sinks.chunk_line(stem, F.col("label"), F.col("vec_id") % 7))
+    for part in (0, 1, 1, 2):
+        sinks.append_batch(lines.filter(F.col("label") % 3 == part), path, f"labels-{part}")
+    return sinks.read_batches(spark, path).withColumnRenamed("value", "line")
+
+
 @query(
     "s13_bad_records",
     f"""WITH {WAV} SELECT concat('clips/', clip_id, '-', chunk_idx, '.wav') AS path, clip_id % 10 NOT IN (3, 7) AS decoded FROM clip""",
