@@ -76,7 +76,9 @@ def _partial_sums(values: str, words: np.ndarray):
                 count += np.bincount(word, minlength=len(words))
                 np.add.at(sums, word, rows)
         held = np.flatnonzero(count)
-        yield pd.DataFrame({"word": held, "n": count[held], "sums": list(sums[held])})
+        # A task without rows says nothing: an empty column of lists has no type that Arrow could convert.
+        if len(held):
+            yield pd.DataFrame({"word": held, "n": count[held], "sums": list(sums[held])})
 
     return run
 

@@ -30,6 +30,14 @@ def test_equal_rows_few_rows_and_none(spark):
         codebook.learn_codebook(same.limit(0), "v", "id", 3)
 
 
+def test_tasks_without_rows(spark):
+    rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(3)], "id int, v array<double>").repartition(32)
+    assert codebook.learn_codebook(rows, "v", "id", 1, 1).words.tolist() == [[1.0, 0.0]]
+    book = codebook.learn_codebook(rows, "v", "id", 3)
+    empty = rows.filter("id > 5").select(book.column(F.array("v")).alias("v"))
+    assert sorted(book.words[:, 0]) == [0.0, 1.0, 2.0] and empty.collect() == []
+
+
 def test_residuals(spark):
     book = codebook.Codebook(np.array([[0.0, 0.0], [10.0, 10.0]]))
     rows = [(1, [[1.0, 0.0], [9.0, 10.0], [0.0, 2.0], [12.0, 10.0]]), (2, [[5.0, 5.0]]), (3, []), (4, None), (5, [None, [10.0, 11.0]])]
