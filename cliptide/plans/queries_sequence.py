@@ -49,8 +49,8 @@ chunk AS (SELECT p.* FROM pcm p JOIN whole w ON p.clip_id = w.clip_id AND p.chun
 
 
 def pcm_chunks(spark, sf):
-    """(clip_id, chunk_idx, samples) with 16 small-integer samples per chunk."""
-    rows = b.signal(spark, sf).withColumn("sample", F.floor(F.col("sample") * 50).cast("smallint"))
+    """(clip_id, chunk_idx, samples) with 16 integer samples per chunk; loud ones may go beyond 16 bits."""
+    rows = b.signal(spark, sf).withColumn("sample", F.floor(F.col("sample") * 50).cast("int"))
     return sequence.chunks(rows, 16)
 
 

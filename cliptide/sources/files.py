@@ -8,6 +8,7 @@ A file that cannot be decoded becomes a row with an ``error``; nothing is droppe
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -58,11 +59,49 @@ def _opened(path: str, content: bytes | None):
     return system.open_input_file(inner)
 
 
+class _FloatClip:
+    """A WAV file of 32-bit floats (format 3), which ``wave`` does not open: what the decoders use of it."""
+
+    def __init__(self, file):
+        head, form = file.read(12), None
+        if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+            raise ValueError("no RIFF file")
+        while len(top := file.read(8)) == 8:
+            name, size = struct.unpack("<4sI", top)
+            if name == b"data" and form:
+                break
+            body = file.read(size + size % 2)  # chunks begin at even places
+            if name == b"fmt ":
+                form = struct.unpack_from("<HHIIHH", body)
+        else:
+            raise ValueError("no samples")
+        kind, self.channels, self.rate, _, _, bits = form
+        if (kind, bits) != (3, 32):
+            raise ValueError(f"expected 32-bit floats, found {bits} bits of format {kind}")
+        self.file, self.frames = file, size // (4 * self.channels)
+
+    getframerate = lambda self: self.rate
+    getnchannels = lambda self: self.channels
+    getnframes = lambda self: self.frames
+    getsampwidth = lambda self: 4
+
+    def readframes(self, count: int) -> bytes:
+        return self.file.read(count * 4 * self.channels)
+
+
 @contextmanager
 def _open_pcm(path: str, content: bytes | None):
-    with _opened(path, content) as file, wave.open(file) as clip:
-        if clip.getsampwidth() != 2:
-            raise ValueError(f"expected 16-bit samples, found {8 * clip.getsampwidth()}-bit")
+    """A clip of 16-bit samples, or of 32-bit floats."""
+    with _opened(path, content) as file:
+        try:
+            clip = wave.open(file)
+            if clip.getsampwidth() != 2:
+                raise ValueError(f"expected 16-bit samples, found {8 * clip.getsampwidth()}-bit")
+        except wave.Error as error:
+            if str(error) != "unknown format: 3":
+                raise
+            file.seek(0)
+            clip = _FloatClip(file)
         yield clip
 
 
@@ -96,9 +135,9 @@ def duration(metadata: DataFrame) -> DataFrame:
 
 
 def decode_wav(files: DataFrame, chunk: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """(path, sr, channels, chunk_idx, samples, error, keep…): mono float samples in [-1, 1).
+    """(path, sr, channels, chunk_idx, samples, error, keep…): mono float samples, 16-bit ones in [-1, 1).
 
-    16-bit PCM is scaled by 1/32768 and its channels are averaged. With ``chunk`` the clip is
+    16-bit PCM is scaled by 1/32768, 32-bit floats stay as they are; channels are averaged. With ``chunk`` the clip is
     cut into full chunks of that many samples, each its own row; otherwise it is one row. Join
     the labels before this step and ``keep`` their columns: then unlabelled clips are not
     decoded, and no join has to move samples.
@@ -112,10 +151,11 @@ def decode_wav(files: DataFrame, chunk: int | None = None, keep: Sequence[str] =
                 try:
                     with _open_pcm(path, content) as clip:
                         rate, channels, frames = clip.getframerate(), clip.getnchannels(), clip.getnframes()
-                        pcm = np.frombuffer(clip.readframes(frames), dtype="<i2")
+                        kind, scale = ("<i2", 32768.0) if clip.getsampwidth() == 2 else ("<f4", 1.0)
+                        pcm = np.frombuffer(clip.readframes(frames), dtype=kind)
                     if len(pcm) != frames * channels:
                         raise ValueError(f"truncated: {len(pcm)} of {frames * channels} samples")
-                    samples = (pcm.reshape(-1, channels) / 32768.0).mean(axis=1).astype(np.float32)
+                    samples = (pcm.reshape(-1, channels) / scale).mean(axis=1, dtype=np.float64).astype(np.float32)
                     cut = chunk or max(len(samples), 1)
                     count = len(samples) // cut if chunk else 1
                     rows = [(path, rate, channels, i, samples[i * cut : (i + 1) * cut], None) for i in range(count)]
@@ -133,13 +173,24 @@ def decode_wav(files: DataFrame, chunk: int | None = None, keep: Sequence[str] =
     return _bytes_or_path(files, keep).mapInPandas(read, schema)
 
 
+def _float_wav(data: bytes, rate: int) -> bytes:
+    form = struct.pack("<4sIHHIIHHH", b"fmt ", 18, 3, 1, rate, 4 * rate, 4, 32, 0)
+    body = b"WAVE" + form + struct.pack("<4sII", b"fact", 4, len(data) // 4) + struct.pack("<4sI", b"data", len(data)) + data
+    return struct.pack("<4sI", b"RIFF", len(body)) + body
+
+
 def encode_wav(df: DataFrame, rate: int, samples: str = "samples", name: str = "content") -> DataFrame:
-    """16-bit mono WAV bytes of an integer sample array."""
+    """Mono WAV bytes of an integer sample array: 16-bit, or 32-bit floats of the same scale (1 for 32768) for a clip
+    with samples beyond 16 bits. Floats are exact to 24 bits."""
 
     @F.pandas_udf("binary")
     def encode(waves: pd.Series) -> pd.Series:
         out = []
         for values in waves:
+            whole = np.asarray(values)
+            if ((whole < -32768) | (whole > 32767)).any():
+                out.append(_float_wav((whole / 32768.0).astype("<f4").tobytes(), rate))
+                continue
             buffer = io.BytesIO()
             with wave.open(buffer, "wb") as clip:
                 clip.setnchannels(1)
