@@ -117,8 +117,10 @@ def fold_predictions(
     The thin predictions are written below the shared folder, while the rows are still cached.
     """
     estimator = estimator or linear_classifier()
+    # A fit is hundreds of small jobs, and every task reports to the driver: rows that are read back come in as many
+    # tasks as their bytes fill, not in one for each shuffle partition of what made them.
     # A fit reads its rows many times; the cache falls back to disk and is rebuilt when lost.
-    df = df.persist()
+    df = settled(df, "fold_rows").persist()
     parts = []
     try:
         for held_out in range(folds):

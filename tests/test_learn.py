@@ -82,3 +82,16 @@ def test_search_and_fold_predictions(spark):
     assert {(r.id, r.fold) for r in out} == {(r.id, r.fold) for r in df.collect()} and len(out) == 120
     table = learn.search_table(spark, learn.search(df, reg=(0.01, 0.1))).collect()
     assert len(table) == 2 and max(table, key=lambda r: r.metric).metric == next(r.metric for r in table if r.best)
+
+
+def test_fold_rows_come_in_as_many_tasks_as_their_bytes_fill(spark):
+    rows = spark.createDataFrame([(i, float(i % 2), [float(i % 2), float(i)], i % 4) for i in range(400)], "id long, label double, v array<double>, fold int")
+    seen = []
+
+    def prepare(train):
+        seen.append((train.rdd.getNumPartitions(), train.count()))
+        return lambda df: learn.as_vector(df, "v")
+
+    found = learn.fold_predictions(rows.repartition(64, "id"), 4, keep=["id"], prepare=prepare)
+    assert [n for _, n in seen] == [300] * 4 and max(p for p, _ in seen) <= 16
+    assert found.select("id").distinct().count() == found.count() == 400
