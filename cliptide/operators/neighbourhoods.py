@@ -75,7 +75,7 @@ def _first_edges(rows: DataFrame, width: int, k: int, passes: int, seed: int) ->
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("id")
         ids = block["id"].to_numpy()
-        a, b, d = _nearest(np.stack(block["v"]), k)
+        a, b, d = _nearest(np.stack(block["v"]).astype(np.float64), k)
         return pd.DataFrame({"src": ids[a], "dst": ids[b], "d2": d})
 
     placed = _projected(rows, width, passes, seed)
@@ -90,13 +90,26 @@ def _first_edges(rows: DataFrame, width: int, k: int, passes: int, seed: int) ->
     return edges
 
 
-def _met(graph: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Edges between nodes that share a neighbour: the members of every node's neighbourhood (its ``k`` nearest and
-    the ``k`` nearest that point to it) are compared with one another. A neighbourhood brings 2k vectors."""
+def _neighbourhoods(graph: DataFrame, k: int) -> DataFrame:
+    """(at, ids): every node's ``k`` nearest and the ``k`` nearest that point to it, sorted."""
     ahead = graph.select(F.col("src").alias("at"), F.col("dst").alias("id"))
     back = _closest(graph, k, "dst").select(F.col("dst").alias("at"), F.col("src").alias("id"))
-    members = ahead.unionByName(back).distinct().join(rows, "id")
-    around = members.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("m"))
+    return settled(ahead.unionByName(back).groupBy("at").agg(F.sort_array(F.collect_set("id")).alias("ids")), "map_around")
+
+
+def _reach(graph: DataFrame, k: int) -> DataFrame:
+    """(id, far): the longest edge of every node that has ``k`` of them; a longer one cannot replace any."""
+    return graph.groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("far"))
+
+
+def _met(around: DataFrame, before: DataFrame | None, rows: DataFrame, far: DataFrame, k: int) -> DataFrame:
+    """Edges between nodes that share a neighbour: the members of every neighbourhood are compared with one another. A
+    neighbourhood brings 2k vectors. One with the same members as in the round ``before`` brings none: its edges
+    were candidates then, and a node's ``k`` best only get better. Edges longer than ``far`` stay behind, too."""
+    if before is not None:
+        around = around.join(before, ["at", "ids"], "left_anti")
+    members = around.select("at", F.explode("ids").alias("id")).join(rows.join(far, "id", "left"), "id")
+    around = members.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("id", "v", F.coalesce("far", F.lit(float("inf"))).alias("far")))).alias("m"))
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("d2", T.DoubleType())])
 
@@ -104,21 +117,22 @@ def _met(graph: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
+            ids, vectors, limit = batch.column(0), batch.column(1), batch.column(2).flatten().to_numpy()
             ends = ids.offsets.to_numpy()
             flat = vectors.values.flatten().to_numpy(zero_copy_only=False)
-            flat = flat.reshape(len(vectors.values), -1)
+            flat = flat.reshape(len(vectors.values), -1).astype(np.float64)
             a, b, d = [], [], []
             for low, high in zip(ends[:-1], ends[1:]):
-                i, j, far = _nearest(flat[low:high], k)
-                a.append(i + low)
-                b.append(j + low)
-                d.append(far)
+                i, j, d2 = _nearest(flat[low:high], k)
+                short = d2 <= limit[i + low]
+                a.append(i[short] + low)
+                b.append(j[short] + low)
+                d.append(d2[short])
             if a:
                 take = lambda at: ids.values.take(pa.array(np.concatenate(at)))
                 yield pa.RecordBatch.from_arrays([take(a), take(b), pa.array(np.concatenate(d), pa.float64())], ["src", "dst", "d2"])
 
-    return around.select(F.col("m.id").alias("ids"), F.col("m.v").alias("vectors")).mapInArrow(compare, schema)
+    return around.select(F.col("m.id").alias("ids"), F.col("m.v").alias("vectors"), F.col("m.far").alias("limits")).mapInArrow(compare, schema)
 
 
 def neighbour_graph(df: DataFrame, key: str, values: str, k: int = 10, passes: int = 3, rounds: int = 6, seed: int = 42) -> DataFrame:
@@ -129,7 +143,8 @@ def neighbour_graph(df: DataFrame, key: str, values: str, k: int = 10, passes: i
     one that holds null or non-finite values take no part; all others must be of one length. Equal vectors are
     neighbours at distance 0; of equally near rows a hash of both keys decides. Fewer than two rows give no edge.
     """
-    v = F.col(values).cast("array<double>")
+    # Floats stay floats until they are compared: most of what a round shuffles are vectors.
+    v = F.col(values) if df.select(values).dtypes[0][1] == "array<float>" else F.col(values).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = settled(df.filter(F.col(key).isNotNull() & (F.size(v) > 0) & sound).select(F.col(key).alias("id"), v.alias("v")), "map_rows")
     widths = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
@@ -144,9 +159,12 @@ def neighbour_graph(df: DataFrame, key: str, values: str, k: int = 10, passes: i
         return graph, graph.agg(F.count(F.lit(1)), F.sum("d2")).first()
 
     graph, was = kept(_first_edges(rows, widths[0], k, passes, seed))
+    before = None
     for _ in range(rounds):
         turned = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2")
-        graph, now = kept(graph.unionByName(turned).unionByName(_met(graph, rows, k)))
+        around = _neighbourhoods(graph, k)
+        graph, now = kept(graph.unionByName(turned).unionByName(_met(around, before, rows, _reach(graph, k), k)))
+        before = around
         if now[0] == was[0] and (now[1] or 0.0) >= (was[1] or 0.0) * (1 - 1e-12):
             break
         was = now

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cliptide.operators import neighbourhoods as nb
 
@@ -40,6 +41,31 @@ def test_descent_finds_neighbours_across_blocks(spark, monkeypatch):
         assert r.d2 == pytest.approx(((x[r.src] - x[r.dst]) ** 2).sum())
 
 
+def test_neighbourhoods_that_stay_bring_no_vectors(spark, monkeypatch):
+    """Leaving them out changes no edge, nor does leaving out edges that are too long; floats are carried as floats and compared as doubles."""
+    monkeypatch.setattr(nb, "BLOCK", 30)
+    x = np.random.default_rng(6).normal(0, 1, (200, 8)).astype(np.float32)
+    df = _table(spark, x).withColumn("v", F.col("v").cast("array<float>"))
+    graph = lambda df: {(r.src, r.dst): r.d2 for r in nb.neighbour_graph(df, "key", "v", k=5).collect()}
+    brought, met = [], nb._met
+
+    def counted(around, before, rows, far, k):
+        assert rows.schema["v"].dataType.simpleString() == "array<float>"
+        brought.append(met(around, before, rows, far.withColumn("far", F.lit(None).cast("double")), k).select("src").distinct().count())
+        assert met(around, before, rows, far, k).join(far.withColumnRenamed("id", "src"), "src").filter("d2 > far").count() == 0
+        return met(around, before, rows, far, k)
+
+    monkeypatch.setattr(nb, "_met", counted)
+    some = graph(df)
+    assert brought[0] == 200 and brought[-1] < 200
+    last = spark.createDataFrame([(*e, d) for e, d in some.items()], "src long, dst long, d2 double")
+    around = nb._neighbourhoods(last, 5)
+    assert met(around, around, df.selectExpr("key AS id", "v"), nb._reach(last, 5), 5).count() == 0
+    monkeypatch.setattr(nb, "_met", lambda around, before, rows, far, k: met(around, None, rows, far.withColumn("far", F.lit(None).cast("double")), k))
+    assert graph(df) == some
+    assert graph(df.withColumn("v", F.col("v").cast("array<double>"))) == some
+
+
 def test_map_same_as_dense_numpy(spark, monkeypatch):
     """500 rows: the vectors agree with those of the dense matrix of the same graph, up to sign."""
     df = _table(spark, _cloud())
