@@ -23,6 +23,8 @@ UNKNOWN_PENALTY = 10.0
 SEEN_WORDS = 500_000
 LONG_WORD = 256
 CELLS = 1 << 20
+#: Bytes of a slice: a word is an object of its own and a piece several numbers of 64 bits while a slice is worked on.
+SLICE = 1 << 20
 
 _WORDS = re.compile(rb" *[^ ]+| +")
 
@@ -317,7 +319,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", out: str = "p
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
         return lists, byte[bounds[1:]] - byte[bounds[:-1]]
 
-    return append_struct(docs, text, free_name(docs, out), "ids array<int>, n_bytes long", make)
+    return append_struct(docs, text, free_name(docs, out), "ids array<int>, n_bytes long", make, limit=SLICE)
 
 
 def spell(model: PieceModel, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -348,5 +350,5 @@ def decode(encoded: DataFrame, model: PieceModel, ids: str = "ids", out: str = "
         return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
 
     return append_struct(
-        encoded, ids, free_name(encoded, out), "text string", lambda v: (spell(sent.value, v[0], v[1].astype(np.int64)),), read
+        encoded, ids, free_name(encoded, out), "text string", lambda v: (spell(sent.value, v[0], v[1].astype(np.int64)),), read, SLICE
     )

@@ -109,3 +109,18 @@ def test_null_lists_and_control_pieces_spell_nothing(spark, model):
 def test_gathered_runs():
     flat, bounds = pieces.gathered(np.array([5, 6, 7, 8]), np.array([0, 2, 2, 4]), np.array([2, 1, 0]))
     assert flat.tolist() == [7, 8, 5, 6] and bounds.tolist() == [0, 2, 2, 4]
+
+
+def test_texts_and_pieces_are_taken_in_small_slices(spark, model, monkeypatch):
+    """A word and a piece take many times their bytes while a slice is worked on."""
+    limits, real = [], pieces.append_struct
+
+    def kept(docs, column, out, fields, make, read=None, limit=None):
+        limits.append(limit or 4 << 20)
+        return real(docs, column, out, fields, make, *([read] if read else []), limit=limit)
+
+    monkeypatch.setattr(pieces, "append_struct", kept)
+    docs = spark.createDataFrame([(i, "some words here " * 40_000) for i in range(3)], "doc_id long, text string").coalesce(1)
+    read = pieces.decode(pieces.encode(docs, model).select("doc_id", "text", "pieces.ids"), model).select("text", "decoded.text").collect()
+    assert all(r[0] == r[1] for r in read) and len(read) == 3
+    assert max(limits) <= 1 << 20 and len(limits) == 2
